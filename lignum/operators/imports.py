@@ -40,7 +40,7 @@ _USE = re.compile(r"(?<![\w#])(?:pub(?:\s*\([^)]*\))?\s+)?use\s[^;]*;")
 _PY = re.compile(r"(?:^|;|:)[ \t]*((?:from|import)\b(?:\([^)]*\)|\\\n|[^\n;(])*(?:\([^)]*\)?)?)", re.M)
 _JS = re.compile(r"(?<![\w.$])(import|export)\b")
 _REQUIRE = re.compile(r"(?<![\w.$])require\([^)]*\)")
-_GO = re.compile(r"^[ \t]*import\b\s*(\([^)]*\)?|[^\n]*)", re.M)
+_GO = re.compile(r"^[ \t]*import\b([ \t]*\([^)]*\)?|[^\n]*)", re.M)
 _GO_SPEC = re.compile(r'"([^"\n]+)"')
 _JAVA = re.compile(r"(?<![\w.])import\s[^;]*;")
 _INCLUDE = re.compile(r"^[ \t]*#[ \t]*include[ \t]*(\"[^\"\n]+\"|<[^>\n]+>)", re.M)

@@ -141,7 +141,7 @@ def resolve(path: str | Path | None = None, url: str | None = None, ref: str | N
 
 def name_status(out: bytes) -> list[str]:
     """Paths of `git diff --name-status -z`; the new one of renames and copies."""
-    words = out.decode("utf-8", "surrogateescape").split("\0")
+    words = out.decode("utf-8", "surrogateescape").removesuffix("\0").split("\0")
     paths, at = [], 0
     while at < len(words) and words[at]:
         n = 2 if words[at][0] in "RC" else 1
