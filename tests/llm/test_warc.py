@@ -1,0 +1,78 @@
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lignum.llm import warc
+
+SEGMENTS = "origin_id long, segment_number int, total_length long, payload binary"
+
+
+def chunked(data, size):
+    return b"".join(b"%x\r\n%s\r\n" % (len(data[k : k + size]), data[k : k + size]) for k in range(0, len(data), size)) + b"0\r\n\r\n"
+
+
+@given(st.binary(max_size=400), st.integers(1, 50))
+def test_chunks_round_trip(data, size):
+    assert warc.unchunk(chunked(data, size)) == data
+
+
+@pytest.mark.parametrize("data", [b"", b"5\r\nabc", b"zz\r\nabc\r\n", b"3\r\nabcd\r\n0\r\n\r\n", b"3\r\nabc\r\n", b"-3\r\nabc\r\n0\r\n\r\n", b"\r\n"])
+def test_broken_chunks(data):
+    with pytest.raises(ValueError):
+        warc.unchunk(data)
+
+
+def test_extensions_trailers_and_case():
+    assert warc.unchunk(b"A;x=y\r\n0123456789\r\n0\r\nTrailer: 1\r\n\r\n") == b"0123456789"
+    r = warc.decode_http(b"HTTP/1.1 206 Partial\r\ntransfer-ENCODING: gzip, Chunked\r\n\r\n1\r\nz\r\n0\r\n\r\n")
+    assert r == {"status": 206, "body": b"z", "problem": None}
+    assert warc.decode_http(b"HTTP/1.1 200 OK\r\n\r\nrest") == {"status": 200, "body": b"rest", "problem": None}
+    assert warc.decode_http(b"no head")["problem"] == "no end of head" and warc.decode_http(None) is None
+
+
+def test_pages_come_back(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html.encode() for r in pages.collect()}
+    got = warc.reassemble(warc.segments_of(pages)).collect()
+    assert len(got) == len(html)
+    cut = warc.segments_of(pages).groupBy("origin_id").count().count()
+    assert cut == len(html)
+    for r in got:
+        if r.complete:
+            assert bytes(r.body) == html[r.origin_id] and r.status == 200 and r.problem is None
+        else:
+            assert r.origin_id % 50 == 17 and r.body is None and r.problem in ("missing segment", "no single total length")
+
+
+def test_cases(spark):
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    n = len(head)
+    rows = [
+        (1, 2, n + 3, b"abc"), (1, 1, None, head), (1, 1, None, head),  # out of order, repeated
+        (2, 1, None, head), (2, 3, n + 3, b"abc"),  # a gap
+        (3, 1, None, head), (3, 2, n + 9, b"abc"),  # wrong length
+        (4, 1, None, head), (4, 2, None, b"abc"),  # no total
+        (5, 1, None, head), (5, 1, None, head + b"!"), (5, 2, n, b""),  # conflict
+        (6, 1, n, head), (7, 1, 0, None), (None, 1, n, head), (8, None, n, head),
+        (9, 1, n + 3_000_000, head + bytes(range(256)) * 11718 + b"\xff" * 192),
+        (10, 1, n, head), (10, 2, n + 1, b"z"),  # two totals
+    ]
+    df = spark.createDataFrame(rows, SEGMENTS).withColumns({c: F.lit("mine") for c in ("s", "p", "gone", "r", "body", "status")})
+    got = warc.reassemble(df)
+    assert got.columns == ["origin_id", "segments", "total_length", "complete", "status", "body", "problem"]
+    by = {r.origin_id: r for r in got.collect()}
+    assert set(by) == set(range(1, 11))
+    assert (by[1].complete, bytes(by[1].body), by[1].segments) == (True, b"abc", 2)
+    problems = {2: "missing segment", 3: "length differs", 4: "no single total length", 5: "conflicting segments", 8: "missing segment", 10: "no single total length"}
+    assert {k: by[k].problem for k in problems} == problems and not any(by[k].complete or by[k].body for k in problems)
+    assert bytes(by[6].body) == b"" and by[7].complete and by[7].problem == "no end of head"
+    assert bytes(by[9].body) == bytes(range(256)) * 11718 + b"\xff" * 192
+
+
+def test_odd_pages_and_empty(spark):
+    rows = [(1, "é" * 5000), (2, ""), (3, None), (None, "x"), (4, "z" * 3_000_000), (1, "é" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumns({c: F.lit("mine") for c in ("b", "p", "k", "origin_id", "payload")})
+    by = {r.origin_id: r for r in warc.reassemble(warc.segments_of(pages)).collect()}
+    assert {k: bytes(r.body).decode() for k, r in by.items()} == {1: "é" * 5000, 2: "", 3: "", 4: "z" * 3_000_000}
+    assert warc.reassemble(warc.segments_of(pages.filter("false"))).collect() == []
