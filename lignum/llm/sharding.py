@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import DOC_COLUMNS, order_hash, order_hash_sql, subset
+from .common import DOC_COLUMNS, order_hash, order_hash_sql, subset, written
 
 DIMS, BITS = 3, 5
 LEVELS = 1 << BITS
@@ -68,7 +68,8 @@ def shard(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
         values = base.select(name).distinct()
         n = values.agg(F.count("*").alias("n"))
         rank = F.row_number().over(Window.orderBy(F.col(name).asc_nulls_first())) - 1
-        return values.withColumn("r", rank).crossJoin(F.broadcast(n)).select(F.col(name).alias(f"key_{level}"), F.expr(f"cast(r * {LEVELS} div n as int)").alias(level))
+        ranks = values.withColumn("r", rank).crossJoin(F.broadcast(n)).select(F.col(name).alias(f"key_{level}"), F.expr(f"cast(r * {LEVELS} div n as int)").alias(level))
+        return written(ranks, f"ranks-{name}")  # its size is known then: a few values are broadcast, so the texts don't move for them
 
     x = base
     for name, level in (("lang", "d0"), ("source", "d1")):
