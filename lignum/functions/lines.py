@@ -21,13 +21,9 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def is_blank(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(f"\\A{BLANK}\\z"))
-
-
-def starts_with_token(line: Column, token: Column) -> Column:
-    """Whether the first thing on the line is the token; false for a null token."""
-    return F.coalesce(F.regexp_replace(line, f"\\A{BLANK}", "").startswith(token), F.lit(False))
+def unix(text: Column) -> Column:
+    """The text with LF for each line end."""
+    return F.regexp_replace(text, "\r\n?", "\n")
 
 
 def has_long_line(text: Column, most: int) -> Column:

@@ -79,23 +79,29 @@ def _scanned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array(found, pa.struct([(c, pa.int64()) for c in COUNTS]))
 
 
-def _native(content: Column, language: Column) -> Column:
-    """Counts where no comment spans lines."""
-    line = L.lines(L.as_latin(content))
-    empty = F.size(F.filter(line, L.is_blank))
-    token = paths.single_token(language)
-    comment = F.coalesce(F.size(F.filter(line, lambda x: L.starts_with_token(x, token))), F.lit(0))
-    parts = {"code_lines": F.size(line) - comment - empty, "comment_lines": comment, "empty_lines": empty}
-    return F.struct(*[parts[c].cast("bigint").alias(c) for c in COUNTS])
+def _native(text: Column, language: Column) -> dict[str, Column]:
+    """Lines of a text whose lines end in LF, where no comment spans lines; null for null."""
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    empty = F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit(f"(?md)^{L.BLANK}$")))
+    token, comment = paths.single_token(language), F.when(text.isNotNull(), 0)
+    # a constant pattern for each token, so that none is compiled by the row
+    for t in sorted({x.single for x in STYLES.values() if x.single and not x.start}):
+        comment = F.when(token == t, F.regexp_count(text, F.lit(f"(?md)^{L.BLANK}\\Q{t}\\E"))).otherwise(comment)
+    return {"total": ends + F.when((text != "") & ~text.endswith("\n"), 1).otherwise(0), "comment": comment, "empty": empty}
 
 
 def with_counts(files: DataFrame) -> DataFrame:
-    """files (path, size_bytes, content) of known languages, with language and line counts instead of content."""
-    known = files.withColumn("language", paths.language(F.col("path"))).filter("language is not null")
-    blocks = paths.has_blocks(F.col("language"))
-    scanned = known.withColumn("scanned", _scanned(F.when(blocks, F.col("content")), F.col("language")))
-    counts = F.when(blocks, F.col("scanned")).otherwise(_native(F.col("content"), F.col("language")))
-    return scanned.select("path", "language", "size_bytes", counts.alias("n")).select("path", "language", "size_bytes", "n.*")
+    """files (path, size_bytes, content) of known languages, with language and line counts instead of content.
+
+    Each step is a projection of its own: what the next one uses several times is computed once.
+    """
+    known = files.select("path", "size_bytes", "content", paths.language(F.col("path")).alias("language")).filter("language is not null")
+    blocks, row = paths.has_blocks(F.col("language")), ["path", "language", "size_bytes"]
+    texts = known.select(*row, F.when(blocks, F.col("content")).alias("scan"), F.when(~blocks, L.unix(L.as_latin(F.col("content")))).alias("text"))
+    native = _native(F.col("text"), F.col("language"))
+    counted = texts.select(*row, _scanned("scan", "language").alias("scanned"), *[c.alias(name) for name, c in native.items()])
+    plain = {"code_lines": F.col("total") - F.col("comment") - F.col("empty"), "comment_lines": F.col("comment"), "empty_lines": F.col("empty")}
+    return counted.select(*row, *[F.coalesce(F.col(f"scanned.{c}"), plain[c]).cast("bigint").alias(c) for c in COUNTS])
 
 
 def by_language(counted: DataFrame) -> DataFrame:
