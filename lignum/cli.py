@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import server
 from .functions.tokens import parse_budget
 from .plans import context, graph, loc
 from .render import context as render_context
@@ -30,6 +31,7 @@ def emit(text: str, output: str | None) -> None:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lignum", description="Analyses of source trees on Spark.")
     commands = top.add_subparsers(dest="command", required=True)
+    commands.add_parser("mcp", help="serve the analyses as tools on standard input and output")
     for name, text in (("loc", "count lines"), ("context", "build a context pack"), ("graph", "map dependencies")):
         p = commands.add_parser(name, help=text)
         p.add_argument("--path", help="folder; the working one by default")
@@ -71,6 +73,9 @@ def _context(spark: SparkSession, args: argparse.Namespace, source: git.Source)
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
+    if args.command == "mcp":
+        server.serve(spark, sys.stdin, sys.stdout)
+        return
     source = git.resolve(args.path, args.url, args.ref)
     if args.command == "loc":
         emit(render_loc.table(loc.analyze(spark, source.path, args.ignore, source.shown)), None)

@@ -16,8 +16,8 @@ from .functions import paths
 from .functions.lines import lines
 from .functions.tokens import estimate
 from .operators import excerpts, graph, ignore, loc, select
-from .registry import LANGUAGES, by_extension, by_name
-from .sources import tables
+from .registry import LANGUAGES, STYLES, by_extension, by_name
+from .sources import corpus, tables
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,7 +314,37 @@ r(language, style, patterns) as (values {", ".join(f"('{n}', '{x.style}', {len(x
 e(k, v) as (values {_values(_LANGUAGE_OF_DOC)})
 select language, style, patterns, coalesce(files, 0) as files from r left join e on v = language left join n on k = ext"""
 
+
+
+def benchmark_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts of the made-up medium tree."""
+    return loc.rollup(loc.with_counts(corpus.files(spark, corpus.DATASETS["medium"])))
+
+
+def _corpus_sql(d: corpus.Dataset) -> str:
+    """A template's lines are known, so the counts are products."""
+    each, n = d.modules * d.files, corpus.repeats(d)
+    rows = []
+    for ext, parts in corpus.TEMPLATES.items():
+        language = by_extension()[ext]
+        counts = [loc.count_lines(p.encode(), STYLES[LANGUAGES[language].style]) for p in parts]
+        sums = [each * (a + n * b + c) for a, b, c in zip(*counts)]
+        rows.append((language, *sums, each * (len(parts[0]) + n * len(parts[1]) + len(parts[2])), each))
+    for name, text in corpus.ROOT_FILES.items():
+        language = by_name()[name]
+        rows.append((language, *loc.count_lines(text.encode(), STYLES[LANGUAGES[language].style]), len(text), 1))
+    values = ", ".join(str(r) for r in rows)
+    sums_sql = ", ".join(f"CAST(sum({c}) AS BIGINT) as {c}" for c in (*loc.SUMS, "files"))
+    return f"with t(language, {', '.join(loc.SUMS)}, files) as (values {values}) select language, {sums_sql} from t group by rollup (language)"
+
+
+def sample_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.statistics(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
 QUERIES: dict[str, Query] = {
+    "benchmark_corpus": benchmark_corpus,
+    "sample_statistics": sample_statistics,
     "loc_by_language": loc_by_language,
     "loc_rollup_totals": loc_rollup_totals,
     "loc_report_totals": loc_report_totals,
@@ -340,6 +370,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "benchmark_corpus": _corpus_sql(corpus.DATASETS["medium"]),
+    "sample_statistics": "select l_returnflag, count(l_quantity) as samples, min(l_quantity) as lowest, avg(l_quantity) as mean, median(l_quantity) as median, max(l_quantity) as highest from lineitem group by l_returnflag",
     "loc_by_language": _LOC_SQL + f" select language, {_SUMS_SQL} from counts group by language",
     "loc_rollup_totals": _LOC_SQL + f" select language, {_SUMS_SQL}, count(*) as files from counts group by rollup (language)",
     "loc_report_totals": _LOC_SQL + f" select {_SUMS_SQL}, count(*) as files_scanned, count(distinct language) as languages_detected from counts",
