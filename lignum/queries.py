@@ -251,9 +251,7 @@ _ROOT = "s/1.py"
 
 def _reach(spark: SparkSession, sf_dir: str, depth: int | None, reverse: bool) -> DataFrame:
     known, edges = _graph(spark, sf_dir)
-    # few links, so that distances vary: one of each part to its first supplier
-    thin = edges.filter("resolved").groupBy("from").agg(F.min("to").alias("to"), F.lit(True).alias("resolved"))
-    return graph.reachable(known.filter(F.col("path") == _ROOT), thin, depth, reverse)
+    return graph.reachable(known.filter(F.col("path") == _ROOT), edges, depth, reverse)
 
 
 def _reach_sql(depth: int | None, reverse: bool) -> str:
