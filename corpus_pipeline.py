@@ -29,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest mixture with equal tokens from each source."""
-    return mixing.keep_mixture(docs)
+    """Equal tokens from each source; a source that has fewer gives all."""
+    return mixing.keep_mixture(docs, fill=True)
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

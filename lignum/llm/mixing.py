@@ -15,6 +15,11 @@ T * w_s * pct / 100, rounded down, and its threshold is the largest hash with
 the documents up to it holding at most the budget. Thresholds of smaller
 budgets are smaller, so the samples are nested.
 
+With `fill` a source that runs out gives all it has instead of holding the
+others down: T is the smallest A_s / w_s, rounded up, such that the sources up
+to it hold half of all tokens, and a source's full budget is min(A_s, T * w_s).
+So a mixture keeps at least half of the tokens, whatever small sources there are.
+
 Defined cases: null and empty texts have no tokens and cost nothing, so they
 are taken by their hash alone; null source is a source of its own, weighted
 under the key None; a source without weight is dropped; a null doc_id hashes as
@@ -46,14 +51,20 @@ def _weight(weights: dict[str | None, int] | None) -> Column:
     return known.cast("bigint")
 
 
-def thresholds(slim: DataFrame, weights: dict[str | None, int] | None, budgets: tuple[int, ...], bits: int = 12) -> DataFrame:
+def thresholds(slim: DataFrame, weights: dict[str | None, int] | None, budgets: tuple[int, ...], bits: int = 12, fill: bool = False) -> DataFrame:
     """(source, pct, threshold) of a (source, h, tokens) table; -1 takes nothing."""
     by_bucket = slim.groupBy("source", F.shiftright("h", HASH_BITS - bits).alias("b1")).agg(F.sum("tokens").alias("t"))
     hist = written(by_bucket, "histogram")
     totals = hist.groupBy("source").agg(F.sum("t").alias("total")).withColumn("w", _weight(weights)).filter("w > 0")
     unit = totals.filter("total > 0").agg(F.min(F.expr("total div w")).alias("unit"))
+    full = F.expr("unit * w")
+    if fill:
+        steps = totals.filter("total > 0").groupBy(F.expr("(total + w - 1) div w").alias("u")).agg(F.sum("total").alias("t"))  # a row for each size of a source
+        upto, whole = F.sum("t").over(Window.orderBy("u")), F.sum("t").over(Window.partitionBy())
+        unit = steps.select("u", (2 * upto >= whole).alias("enough")).filter("enough").agg(F.min("u").alias("unit"))
+        full = F.expr("least(total, unit * w)")
     pct = F.explode(F.array(*[F.lit(int(p)) for p in budgets])).alias("pct")
-    goals = written(totals.crossJoin(F.broadcast(unit)).select("source", pct, "total", (F.expr("unit * w")).alias("full")).select("source", "pct", F.expr("full * pct div 100").alias("budget")), "goals")
+    goals = written(totals.crossJoin(F.broadcast(unit)).select("source", pct, "total", full.alias("full")).select("source", "pct", F.expr("full * pct div 100").alias("budget")), "goals")
 
     def boundary(parts: DataFrame, goals_: DataFrame, low: str, base: Column) -> DataFrame:
         """The first part in which the running sum passes the budget, with what came before; none where all fits."""
@@ -95,10 +106,10 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, budgets:
     return taken.withColumn("fits", smallest).filter(F.size("fits") > 0).select("doc_id", "source", "tokens", F.col("fits")[0]["pct"].alias("pct"))
 
 
-def keep_mixture(docs: DataFrame, weights: dict[str | None, int] | None = None) -> DataFrame:
+def keep_mixture(docs: DataFrame, weights: dict[str | None, int] | None = None, fill: bool = False) -> DataFrame:
     """The rows of the full mixture, all columns as they were."""
     names = docs.columns
-    limits = thresholds(written(_slim(docs).drop("doc_id"), "slim"), weights, (100,)).select(F.col("source").alias("limit_source"), "threshold")
+    limits = thresholds(written(_slim(docs).drop("doc_id"), "slim"), weights, (100,), fill=fill).select(F.col("source").alias("limit_source"), "threshold")
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col("source"), order_hash(F.col("doc_id"), SALT).alias("h"))
     return rows.join(limits, F.col("source").eqNullSafe(F.col("limit_source"))).filter("h <= threshold").select("row.*")
 
