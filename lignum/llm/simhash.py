@@ -1,7 +1,7 @@
 """Near duplicates by an LSH forest over 256-bit SimHash fingerprints.
 
-Fingerprint: the set of lower-cased words of the whole text votes on each of
-256 bits. Forest: L tries over fixed random permutations of the bits; a trie
+Fingerprint: the set of lower-cased words of the whole text (of trigrams of
+characters in scripts written without spaces) votes on each of 256 bits. Forest: L tries over fixed random permutations of the bits; a trie
 is kept implicitly, as rows sorted by their permuted bits inside (trie, short
 prefix) groups. Every row is a query. It starts at the recall depth d*, the
 deepest prefix at which a pair at the verification radius r meets in one of
