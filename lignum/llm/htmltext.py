@@ -6,7 +6,9 @@ end tags close what is open inside them; stray ones are dropped). The renderer
 walks the tree without recursion: white space collapses except in pre, blocks
 start on lines of their own, paragraphs, headings, lists and tables have a
 blank line around them, list items get bullets or numbers with indents, and
-the cells of a table are padded so that its columns align.
+the cells of a table are padded so that its columns align. Spanning cells keep
+the columns and rows that they cover free; text of a table outside its cells
+comes before the table, as browsers have it.
 
 Defined cases: null html gives null text; empty html gives ''; unclosed tags,
 comments and quotes run to the end; elements that browsers don't show (script,
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -143,17 +146,63 @@ class _Out:
         return "".join(self.parts)
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    cells = [[_SPACE.sub(" ", c).strip(" ") for c in row] for row in rows if any(c.strip() for c in row)]
-    width = [max((len(r[k]) for r in cells if k < len(r)), default=0) for k in range(max(map(len, cells), default=0))]
-    return [" | ".join(c.ljust(w) for c, w in zip(row, width)).rstrip() for row in cells]
+class _Row:
+    """Cells as (text, columns, rows); a caption takes no part in spans, a row that starts a group ends those above."""
+
+    __slots__ = ("cells", "caption", "group")
+
+    def __init__(self, caption: bool = False, group: bool = False) -> None:
+        self.cells: list[tuple[str, int, int]] = []
+        self.caption, self.group = caption, group
+
+
+def _span(attrs: str, name: str, most: int) -> int:
+    m = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d{{1,9}})", attrs, re.I)
+    return min(int(m[1]), most) if m else 1
+
+
+def _table(rows: list[_Row]) -> list[str]:
+    placed: list[list[tuple[int, int, str]]] = []  # (first column, column after the last, text) of each row
+    down: list[tuple[int, int, int]] = []  # (first column, column after the last, rows to go) of the cells from above, in order
+    for row in rows:
+        if row.group:
+            down = []
+        here, now, at, k = [], [], 0, 0
+        for text, columns, deep in row.cells:
+            while not row.caption and k < len(down) and down[k][0] <= at:
+                at, k = max(at, down[k][1]), k + 1
+            end = at + columns
+            here.append((at, end, _SPACE.sub(" ", text).strip(" ")))
+            if deep > 1:
+                now.append((at, end, deep - 1))
+            at = end
+        if not row.caption:
+            down = sorted([(a, b, n - 1) for a, b, n in down if n > 1] + now)
+        if any(t.strip() for *_, t in here):
+            placed.append(here)
+    used = sorted({a for row in placed for a, _, _ in row})  # columns in which no cell starts have no width
+    cells = [[(bisect_left(used, a), bisect_left(used, b), t) for a, b, t in row] for row in placed]
+    width = [0] * len(used)
+    for a, b, t in sorted((c for row in cells for c in row), key=lambda c: c[1] - c[0]):
+        room = sum(width[a:b]) + 3 * (b - a - 1)
+        width[b - 1] += max(0, len(t) - room)
+    out = []
+    for row in cells:
+        parts, at = [], 0
+        for a, b, t in row:
+            parts += [" " * w for w in width[at:a]]
+            parts.append(t.ljust(sum(width[a:b]) + 3 * (b - a - 1)))
+            at = max(at, b)
+        out.append(" | ".join(parts).rstrip())
+    return out
 
 
 def render(page: str | None) -> str | None:
     if page is None:
         return None
     out = _Out()
-    tables: list[tuple[_Out, list[list[str]]]] = []  # the outer output and the rows so far
+    tables: list[tuple[_Out, list[_Row]]] = []  # the outer output and the rows so far
+    cells: list[tuple[_Out, _Row]] = []  # of each open cell, what gathers the text around it, and its row
     counters: list[int | None] = []  # next number of each open list, None for bullets
     pre = 0
     work: list[tuple[Node | str, bool]] = [(build(page), False)]
@@ -177,8 +226,10 @@ def render(page: str | None) -> str | None:
         gap = 2 if tag in SPACED and not counters else 1  # close together inside lists
         if leaving:
             if tag in ("td", "th", "caption") and tables:
-                tables[-1][1][-1].append(out.done().replace("\n", " "))
-                out = _Out()
+                text = out.done().replace("\n", " ")
+                out, row = cells.pop()
+                row.cells.append((text, max(1, _span(node.attrs, "colspan", 1000)), _span(node.attrs, "rowspan", 65534) or 65534))
+                out.break_(1)
             elif tag == "table" and tables:
                 stray = out.done()  # text outside the cells comes before the table
                 out, rows = tables.pop()
@@ -208,11 +259,15 @@ def render(page: str | None) -> str | None:
         if tag == "table":
             tables.append((out, []))
             out = _Out()
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1][1].append(_Row(group=True))
         elif tag == "tr" and tables:
-            tables[-1][1].append([])
+            tables[-1][1].append(_Row())
         elif tag in ("td", "th", "caption") and tables:
-            if not tables[-1][1] or tag == "caption":
-                tables[-1][1].append([])
+            rows = tables[-1][1]
+            if tag == "caption" or all(r.caption for r in rows):
+                rows.append(_Row(tag == "caption"))
+            cells.append((out, rows[-1] if tag == "caption" else next(r for r in reversed(rows) if not r.caption)))
             out = _Out()
         elif tag in ("ul", "ol"):
             begin = _START.search(node.attrs)
