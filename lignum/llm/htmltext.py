@@ -47,8 +47,8 @@ ENDS = {
 #: an end tag doesn't close beyond these
 _WALLS = {"table": set(), "td": {"table"}, "th": {"table"}, "tr": {"table"}, "li": {"ul", "ol"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_HIDE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden", re.I)
-_START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -59,6 +59,23 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name, '' where there is none; of a name that is there twice the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def hidden(tag: str, attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or (tag == "input" and attrs.get("type", "").strip().lower() == "hidden") or bool(_UNSEEN.search(attrs.get("style", "")))
+
+
+def _number(attrs: dict[str, str], name: str, default: int) -> int:
+    m = re.match(r"\s*([+-]?\d{1,9})", attrs.get(name, ""))
+    return int(m[1]) if m else default
+
+
 def build(page: str) -> Node:
     root = Node("#root")
     stack, at = [root], 0
@@ -156,11 +173,6 @@ class _Row:
         self.caption, self.group = caption, group
 
 
-def _span(attrs: str, name: str, most: int) -> int:
-    m = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d{{1,9}})", attrs, re.I)
-    return min(int(m[1]), most) if m else 1
-
-
 def _table(rows: list[_Row]) -> list[str]:
     placed: list[list[tuple[int, int, str]]] = []  # (first column, column after the last, text) of each row
     down: list[tuple[int, int, int]] = []  # (first column, column after the last, rows to go) of the cells from above, in order
@@ -228,7 +240,9 @@ def render(page: str | None) -> str | None:
             if tag in ("td", "th", "caption") and tables:
                 text = out.done().replace("\n", " ")
                 out, row = cells.pop()
-                row.cells.append((text, max(1, _span(node.attrs, "colspan", 1000)), _span(node.attrs, "rowspan", 65534) or 65534))
+                attrs = attributes(node.attrs) if node.attrs else {}
+                columns, deep = _number(attrs, "colspan", 1), _number(attrs, "rowspan", 1)
+                row.cells.append((text, min(max(columns, 1), 1000), min(deep, 65534) if deep > 0 else 1 if deep else 65534))
                 out.break_(1)
             elif tag == "table" and tables:
                 stray = out.done()  # text outside the cells comes before the table
@@ -248,12 +262,15 @@ def render(page: str | None) -> str | None:
             if tag in BLOCK:
                 out.break_(gap)
             continue
-        if tag in HIDDEN or (node.attrs and _HIDE.search(node.attrs)):
+        if tag in HIDDEN:
+            continue
+        attrs = attributes(node.attrs) if node.attrs else {}
+        if hidden(tag, attrs):
             continue
         if tag == "br":
             out.line()
-        elif tag in ("img", "area") and (m := re.search(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", node.attrs)):
-            out.text(html.unescape(m[1] or m[2] or ""))
+        elif tag in ("img", "area"):
+            out.text(attrs.get("alt", ""))
         if tag in BLOCK:
             out.break_(gap)
         if tag == "table":
@@ -270,8 +287,7 @@ def render(page: str | None) -> str | None:
             cells.append((out, rows[-1] if tag == "caption" else next(r for r in reversed(rows) if not r.caption)))
             out = _Out()
         elif tag in ("ul", "ol"):
-            begin = _START.search(node.attrs)
-            counters.append((int(begin[1]) if begin else 1) if tag == "ol" else None)
+            counters.append(_number(attrs, "start", 1) if tag == "ol" else None)
             out.indent += 2
         elif tag in ("dd", "blockquote"):
             out.indent += 2
