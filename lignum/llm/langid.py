@@ -15,7 +15,9 @@ code-switched sequences so that the transitions learn how rarely text switches.
 Defined cases: null, empty and letterless texts have no label, share 0, and
 are not accepted; texts of several languages get the one with most words, ties
 to the first in alphabetical order, and are accepted if its share of words
-reaches `min_share`; rows with a null lang train nothing but are labelled; a
+reaches `min_share` and the text is recognised: texts in other languages or
+scripts, and gibberish, have too few trigrams that the training texts have (the
+least share is set by training texts held against others); rows with a null lang train nothing but are labelled; a
 null doc_id is labelled like any other; repeated rows are each labelled; a
 table without labelled words knows no language, so all labels are null and
 nothing is accepted; an empty table gives no rows; extra columns are ignored.
@@ -23,6 +25,7 @@ nothing is accepted; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,16 +41,20 @@ from .common import order_hash, subset
 
 SEGMENT = 128
 _ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
-_TOP = 0x3000
+_TOP = 0x33000  # no letters beyond
+_OTHER = 58
+#: 1 to 57: letters of Latin alphabets; _OTHER: other letters, and the marks of scripts that write vowels with them
 _CLASS = np.zeros(_TOP + 1, np.uint8)
-for _c in range(_TOP):
-    if chr(_c).isalpha():
-        _CLASS[_c] = 58 + _c % 6
-_CLASS[_TOP] = 63
+_CLASS[:_TOP] = [_OTHER * (chr(_c).isalpha() or (0x483 <= _c < 0x1AB0 or 0xA800 <= _c < 0xAC00) and unicodedata.category(chr(_c))[0] == "M") for _c in range(_TOP)]
 for _i, _ch in enumerate("abcdefghijklmnopqrstuvwxyz" + _ACCENTED, 1):
     _CLASS[ord(_ch)] = _CLASS[ord(_ch.upper()[0])] = _i
 _CLASS[ord("ß")] = 26 + len(_ACCENTED)
+#: what a character is to the features: its class, or for other letters their own small letter above the classes
+_IDENTITY = _CLASS.astype(np.int64)
+for _c in np.flatnonzero(_CLASS == _OTHER).tolist():
+    _IDENTITY[_c] = 64 + ord(chr(_c).lower()[0])
 AFFIX = 1 << 15
+GRAMS = 1 << 18  # of Latin letters; as many buckets again for the hashes of other trigrams
 RESULT = T.StructType(
     [
         T.StructField("label", T.StringType()),
@@ -57,6 +64,7 @@ RESULT = T.StructType(
         T.StructField("span_langs", T.ArrayType(T.StringType())),
         T.StructField("span_starts", T.ArrayType(T.IntegerType())),
         T.StructField("span_words", T.ArrayType(T.IntegerType())),
+        T.StructField("recognised", T.BooleanType()),
     ]
 )
 
@@ -77,14 +85,18 @@ class Words:
 
 def words_of(texts: list[str]) -> Words | None:
     cps, begins = textvec.codepoints(texts)
-    cls = _CLASS[np.minimum(cps, _TOP)]
+    cls = _IDENTITY[np.minimum(cps, _TOP)]
     starts, ends = textvec.runs(cls > 0)
     if not len(starts):
         return None
-    wide = cls.astype(np.int32)
+    wide = cls
     at = np.flatnonzero(cls)  # letters; texts end in a line feed, so at + 1 exists, and at - 1 is -1 or before
     before = wide[at - 1]  # index -1 is the closing line feed
     grams = (before << 12) | (wide[at] << 6) | wide[at + 1]
+    other = np.flatnonzero((before >= 64) | (wide[at] >= 64) | (wide[at + 1] >= 64))
+    if len(other):
+        x = (before[other] << 42) | (wide[at[other]] << 21) | wide[at[other] + 1]
+        grams[other] = GRAMS + (textvec.mix(x.astype(np.uint64)) & np.uint64(GRAMS - 1)).astype(np.int64)
     n = ends - starts
     gram_at = np.concatenate(([0], np.cumsum(n)[:-1]))
     # four letters from either end; positions beyond the word are its boundary
@@ -116,6 +128,8 @@ class Model:
     lex: np.ndarray = None  # type: ignore[assignment]
     first: np.ndarray = None  # type: ignore[assignment]
     move: np.ndarray = None  # type: ignore[assignment]
+    known: np.ndarray = None  # type: ignore[assignment]  # which trigrams the training texts have
+    floor: float = 0.0  # least share of known trigrams of a text in a trained language
 
     def tables(self) -> list[str]:
         return ["gram", "prefix", "suffix", "lex", "first", "move"]
@@ -178,6 +192,25 @@ def forward_backward(model: Model, w: Words, emissions: np.ndarray, expected: bo
     return out, xi
 
 
+def _coverage(known: np.ndarray, w: Words, texts: int) -> np.ndarray:
+    """The share of each text's trigrams that are known; 0 without words."""
+    owner = np.repeat(w.owner, np.diff(np.append(w.gram_at, len(w.grams))))
+    return np.bincount(owner, known[w.grams], texts) / np.maximum(np.bincount(owner, minlength=texts), 1)
+
+
+def _floor(texts: list[str], most: float = 0.65, slack: float = 0.8) -> float:
+    """`slack` times the coverage that all but 5 % of texts have by trigrams of other texts, at most `most`."""
+    halves = [h for h in (texts[::2], texts[1::2])]
+    words = [words_of(h) for h in halves]
+    found = []
+    for mine, other, h in zip(words, words[::-1], halves):
+        if mine is not None and other is not None:
+            known = np.zeros(2 * GRAMS, bool)
+            known[other.grams] = True
+            found.append(_coverage(known, mine, len(h))[np.unique(mine.owner)])
+    return min(most, slack * float(np.quantile(np.concatenate(found), 0.05))) if found else 0.3
+
+
 def train(rows: list[tuple[str, str]], lexicon_size: int = 400, steps: int = 40, l2: float = 1e-4, seed: int = 11) -> Model:
     """Fit on (text, lang) rows by Adam on the conditional likelihood of code-switched splices."""
     rows = [(t, g) for t, g in rows if t and g is not None]
@@ -205,13 +238,14 @@ def train(rows: list[tuple[str, str]], lexicon_size: int = 400, steps: int = 40,
     if w is None:
         return Model([])
     k = len(langs)
-    model = Model(langs)
+    model = Model(langs, known=np.zeros(2 * GRAMS, bool), floor=_floor([t for t, _ in rows]))
+    model.known[w.grams] = True
     found: set[int] = set()
     for g in range(k):
         values, n = np.unique(w.hashes[labels == g], return_counts=True)
         found.update(values[np.argsort(-n, kind="stable")[:lexicon_size]][: int((n > 1).sum())].tolist())
     model.lexicon = np.array(sorted(found), np.uint64)
-    model.gram, model.prefix, model.suffix = (np.zeros((k, n), np.float32) for n in (1 << 18, AFFIX, AFFIX))
+    model.gram, model.prefix, model.suffix = (np.zeros((k, n), np.float32) for n in (2 * GRAMS, AFFIX, AFFIX))
     model.lex, model.first, model.move = np.zeros((k, len(model.lexicon) + 1), np.float32), np.zeros(k, np.float32), np.zeros((k, k), np.float32)
     lex = model.lexicon_index(w.hashes)
     letters = np.diff(np.append(w.gram_at, len(w.grams)))
@@ -256,13 +290,14 @@ def label_words(model: Model, texts: list[str | None]) -> Iterator[tuple[int, in
 def label_texts(model: Model, texts: list[str | None]) -> pa.StructArray:
     """A RESULT struct for each text."""
     n, k = len(texts), max(1, len(model.langs))
-    counts, conf = np.zeros((n, k), np.int64), np.zeros(n)
+    counts, conf, cover = np.zeros((n, k), np.int64), np.zeros(n), np.zeros(n)
     span_doc, span_lang, span_start, span_n = [], [], [], []
     for first, size, w, best, posterior in label_words(model, texts):
         if w is None:
             continue
         counts[first : first + size] = np.bincount(w.owner * k + best, minlength=size * k).reshape(size, k)
         conf[first : first + size] = np.bincount(w.owner, posterior, size)
+        cover[first : first + size] = _coverage(model.known, w, size)
         new = np.flatnonzero(np.concatenate(([True], (w.owner[1:] != w.owner[:-1]) | (best[1:] != best[:-1]))))
         begins = np.searchsorted(w.owner, np.arange(size))
         span_doc.append(w.owner[new] + first)
@@ -281,6 +316,7 @@ def label_texts(model: Model, texts: list[str | None]) -> pa.StructArray:
     arrays = [
         label, pa.array(counts.max(1) / some), pa.array(conf / some), pa.array(total.astype(np.int32)),
         as_list(pa.array(names[cat(span_lang).astype(int)], pa.string())), as_list(pa.array(cat(span_start).astype(np.int32))), as_list(pa.array(cat(span_n).astype(np.int32))),
+        pa.array(cover >= model.floor),
     ]
     return pa.StructArray.from_arrays(arrays, [f.name for f in RESULT.fields])
 
@@ -307,14 +343,14 @@ def labels(text: Column, model: Model) -> Column:
 
 
 def accepted(result: Column, min_share: float) -> Column:
-    return (result["n_words"] > 0) & (result["share"] >= min_share)
+    return (result["n_words"] > 0) & (result["share"] >= min_share) & result["recognised"]
 
 
 def identify(docs: DataFrame, train_docs: int = 64, min_share: float = 0.4) -> DataFrame:
     """doc_id, the RESULT columns and `accepted`, a row for each document."""
     model = fit(docs, train_docs)
     found = subset(docs, "doc_id", "text").select("doc_id", labels(F.col("text"), model).alias("r"))
-    return found.select("doc_id", "r.*", accepted(F.col("r"), min_share).alias("accepted"))
+    return found.select("doc_id", "r.*", accepted(F.col("r"), min_share).alias("accepted")).drop("recognised")
 
 
 def keep_identified(docs: DataFrame, train_docs: int = 64, min_share: float = 0.4) -> DataFrame:
