@@ -255,12 +255,13 @@ def _reach(spark: SparkSession, sf_dir: str, depth: int | None, reverse: bool) -
 
 
 def _reach_sql(depth: int | None, reverse: bool) -> str:
+    """Every path keeps the round that first reached it."""
     a, b = ('"to"', '"from"') if reverse else ('"from"', '"to"')
-    bound = "" if depth is None else f" and distance <= {depth}"
-    end = f"(select count(*) from known) > distance{bound}"
-    return f"""with recursive {_EDGES_SQL.strip()}, thin as (select "from", min("to") as "to" from edges where resolved group by "from"),
-walk(path, distance) as (select path, 0 from known where path = '{_ROOT}' union select {b}, distance + 1 from walk join thin on {a} = path where {end})
-select path, min(distance) as distance from walk group by path"""
+    bound = "" if depth is None else f"and w.distance <= {depth}"
+    return f"""with recursive {_EDGES_SQL.strip()}, pairs as (select distinct "from", "to" from edges where resolved),
+walk(path, distance) using key (path) as (select path, 0 from known where path = '{_ROOT}' union
+  select p.{b}, min(w.distance + 1) from walk w join pairs p on p.{a} = w.path where p.{b} not in (select path from recurring.walk) {bound} group by 1)
+select path, distance from walk"""
 
 
 def graph_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
