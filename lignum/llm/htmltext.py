@@ -10,13 +10,21 @@ the cells of a table are padded so that its columns align. Spanning cells keep
 the columns and rows that they cover free; text of a table outside its cells
 comes before the table, as browsers have it.
 
+Visibility follows the attributes and inline styles of a page and what browsers
+do by default: display decides about whole subtrees, visibility is inherited and
+a visible child of an invisible element is shown. Of a drawing (svg) its text
+elements are text.
+
 Defined cases: null html gives null text; empty html gives ''; unclosed tags,
 comments and quotes run to the end; elements that browsers don't show (script,
 style, template, noscript, head, hidden attributes, display:none and
-visibility:hidden styles, hidden inputs) give nothing; unknown tags are
-inline; any depth of nesting is allowed; very long pages are rendered whole;
-a null page_id and repeated rows are rendered like any other; an empty table
-gives no rows; extra columns are ignored.
+visibility:hidden styles, hidden inputs, closed dialogs) give nothing; values of
+form controls aren't text, the content of textareas is; unknown tags are
+inline; any depth of nesting is allowed and costs no more than its length, but
+lines are indented by `DEEPEST` columns at most; a cell longer than `ALIGNED`
+characters is shown whole and doesn't widen its column; very long pages are
+rendered whole; a null page_id and repeated rows are rendered like any other;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +32,8 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,11 +42,16 @@ from pyspark.sql import types as T
 
 from .common import subset
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style template noscript head title iframe noembed noframes object audio video canvas svg datalist".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr".split())
-BLOCK = SPACED | frozenset("html body div article section nav header footer aside main address form li dt dd tr caption thead tbody tfoot figcaption details summary legend center dir menu option optgroup".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
+HIDDEN = frozenset("script style template noscript head title iframe noembed noframes object audio video canvas datalist area rp annotation annotation-xml".split())
+#: of a drawing
+UNDRAWN = frozenset("defs symbol metadata desc clippath mask pattern marker lineargradient radialgradient filter".split())
+FOREIGN = ("svg", "math")
+KEPT = frozenset("pre xmp textarea plaintext listing".split())
+DEEPEST, ALIGNED = 80, 400
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp plaintext listing blockquote figure fieldset hr".split())
+BLOCK = SPACED | frozenset("html body div article section nav header footer aside main address form li dt dd tr caption thead tbody tfoot figcaption details summary dialog search legend center dir menu option optgroup".split())
 _BLOCKS_END_P = BLOCK - {"html", "body", "li", "dt", "dd", "tr", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "legend"}
 #: start tag -> (open tags that it ends, tags beyond which it doesn't look)
 ENDS = {
@@ -46,9 +60,14 @@ ENDS = {
 } | {t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for t in ("thead", "tbody", "tfoot")} | {t: ({"p"}, {"table", "td", "th", "caption", "button"}) for t in _BLOCKS_END_P}
 #: an end tag doesn't close beyond these
 _WALLS = {"table": set(), "td": {"table"}, "th": {"table"}, "tr": {"table"}, "li": {"ul", "ol"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: a quote opens only after an equals sign, so an apostrophe in a bare value is part of it
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?)?")
+_DECLARATION = re.compile(r"((?:[^;\"'(]|\"[^\"]*\"?|'[^']*'?|\([^)]*\)?)+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -67,8 +86,29 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
+def _styles(text: str) -> dict[str, str]:
+    """The declarations of a style attribute: of a property the last counts, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _DECLARATION.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", text, flags=re.S)):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        strong = value.endswith("!important")
+        if value and strong >= found.get(name, (False, ""))[0]:
+            found[name] = strong, value.removesuffix("!important").strip()
+    return {k: v for k, (_, v) in found.items()}
+
+
 def hidden(tag: str, attrs: dict[str, str]) -> bool:
-    return "hidden" in attrs or (tag == "input" and attrs.get("type", "").strip().lower() == "hidden") or bool(_UNSEEN.search(attrs.get("style", "")))
+    """Whether an element and all in it are out of the layout."""
+    display = _styles(attrs["style"]).get("display", "") if "style" in attrs else ""
+    if display:
+        return display == "none"
+    return "hidden" in attrs or (tag == "input" and attrs.get("type", "").strip().lower() == "hidden") or (tag == "dialog" and "open" not in attrs)
+
+
+def _visible(attrs: dict[str, str], inherited: bool) -> bool:
+    value = _styles(attrs["style"]).get("visibility", "") if "style" in attrs else ""
+    return inherited if value not in ("visible", "hidden", "collapse") else value == "visible"
 
 
 def _number(attrs: dict[str, str], name: str, default: int) -> int:
@@ -76,9 +116,32 @@ def _number(attrs: dict[str, str], name: str, default: int) -> int:
     return int(m[1]) if m else default
 
 
+class _Open:
+    """The open elements. Each tag's places in the stack are at hand, so no search walks it."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places = [root], defaultdict[str, list[int]](list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_after(self, tags: Iterable[str], wall: int) -> int:
+        return min((p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_left(p, wall + 1)) < len(p)), default=0)
+
+    def cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+
+
 def build(page: str) -> Node:
     root = Node("#root")
-    stack, at = [root], 0
+    open_, at = _Open(root), 0
+    stack = open_.stack
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
@@ -91,34 +154,32 @@ def build(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            walls = _WALLS.get(tag, {"td", "th", "table"} if tag not in ("html", "body") else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in walls:
-                    break
+            place = open_.last((tag,))
+            if place > open_.last(_WALLS.get(tag, ("td", "th", "table") if tag not in ("html", "body") else ())):
+                open_.cut(place)
+            elif tag in ("p", "br"):  # a stray one is an empty element
+                stack[-1].kids.append(Node(tag))
             continue
         if tag in ENDS:
             gone, wall = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in wall:
-                    break
-                if stack[k].tag in gone:
-                    del stack[k:]
-                    if tag not in ("tr", "thead", "tbody", "tfoot"):
-                        break
+            limit = open_.last(wall)
+            place = open_.first_after(gone, limit) if tag in ("tr", "thead", "tbody", "tfoot") else open_.last(gone)
+            if place > limit:
+                open_.cut(place)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            stack.append(row := Node("tr"))
-            stack[-2].kids.append(row)
+            row = Node("tr")
+            stack[-1].kids.append(row)
+            open_.push(row)
         node = Node(tag, m[3] or "")
         stack[-1].kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            node.kids.append(page[at : end.start() if end else len(page)])
+        foreign = open_.last(FOREIGN) > open_.last(("foreignobject",))
+        if tag in RAW and not foreign:
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at) if tag != "plaintext" else None
+            text = page[at : end.start() if end else len(page)]
+            node.kids.append(html.unescape(text) if tag == "textarea" else text)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(node)
+        elif tag not in VOID and not (foreign and node.attrs.endswith("/")):
+            open_.push(node)
     return root
 
 
@@ -140,7 +201,7 @@ class _Out:
         if self.gap or not self.parts:
             if self.parts:
                 self.parts.append("\n" * self.gap)
-            self.parts.append(" " * self.indent + self.hang)
+            self.parts.append(" " * min(self.indent, DEEPEST) + self.hang)
             self.gap, self.hang = 0, ""
         elif self.space:
             self.parts.append(" ")
@@ -197,7 +258,8 @@ def _table(rows: list[_Row]) -> list[str]:
     width = [0] * len(used)
     for a, b, t in sorted((c for row in cells for c in row), key=lambda c: c[1] - c[0]):
         room = sum(width[a:b]) + 3 * (b - a - 1)
-        width[b - 1] += max(0, len(t) - room)
+        if len(t) <= ALIGNED:  # a longer one runs over, else all rows would be padded to it
+            width[b - 1] += max(0, len(t) - room)
     out = []
     for row in cells:
         parts, at = [], 0
@@ -217,10 +279,14 @@ def render(page: str | None) -> str | None:
     cells: list[tuple[_Out, _Row]] = []  # of each open cell, what gathers the text around it, and its row
     counters: list[int | None] = []  # next number of each open list, None for bullets
     pre = 0
+    shown, drawn = True, True  # whether text is visible; within a drawing, whether it is in a text element
+    around: list[tuple[bool, bool]] = []  # of the open elements' surroundings
     work: list[tuple[Node | str, bool]] = [(build(page), False)]
     while work:
         node, leaving = work.pop()
         if isinstance(node, str):
+            if not (shown and drawn):
+                continue
             if pre:
                 for k, line in enumerate(node.replace("\r\n", "\n").split("\n")):
                     if k:
@@ -232,6 +298,7 @@ def render(page: str | None) -> str | None:
             continue
         tag = node.tag
         if leaving:
+            shown, drawn = around.pop()
             if tag in ("ul", "ol"):
                 counters.pop()
                 out.indent = max(0, out.indent - 2)
@@ -255,7 +322,7 @@ def render(page: str | None) -> str | None:
                     out.put(line)
             elif tag in ("dd", "blockquote"):
                 out.indent = max(0, out.indent - 2)
-            elif tag == "pre":
+            elif tag in KEPT:
                 pre -= 1
             elif tag == "li":
                 out.hang = ""
@@ -265,11 +332,17 @@ def render(page: str | None) -> str | None:
         if tag in HIDDEN:
             continue
         attrs = attributes(node.attrs) if node.attrs else {}
-        if hidden(tag, attrs):
+        if hidden(tag, attrs) or (tag in UNDRAWN and not drawn):
             continue
+        around.append((shown, drawn))
+        shown = _visible(attrs, shown)
+        if tag == "svg":
+            drawn = False
+        elif tag in ("text", "foreignobject"):
+            drawn = True
         if tag == "br":
             out.line()
-        elif tag in ("img", "area"):
+        elif tag == "img" and shown and drawn:
             out.text(attrs.get("alt", ""))
         if tag in BLOCK:
             out.break_(gap)
@@ -291,13 +364,16 @@ def render(page: str | None) -> str | None:
             out.indent += 2
         elif tag in ("dd", "blockquote"):
             out.indent += 2
-        elif tag == "pre":
+        elif tag in KEPT:
             pre += 1
+            if node.kids and isinstance(node.kids[0], str):  # a line end right after the tag isn't shown
+                node.kids[0] = re.sub(r"\A\r?\n", "", node.kids[0])
         elif tag == "li":
             mark = "- "
             if counters and counters[-1] is not None:
                 mark, counters[-1] = f"{counters[-1]}. ", counters[-1] + 1
-            out.hang = mark
+            if shown and drawn:
+                out.hang = mark
         work.append((node, True))
         work.extend((k, False) for k in reversed(node.kids))
     return re.sub(r"\n{3,}", "\n\n", out.done()).strip("\n")
