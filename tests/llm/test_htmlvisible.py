@@ -23,6 +23,8 @@ class Plain(HTMLParser):
         style = (attrs.get("style") or "").replace(" ", "")
         gone = gone or tag in ("script", "style", "head", "title", "template", "noscript") or "hidden" in attrs or "display:none" in style
         seen = "visibility:hidden" not in style and (seen or "visibility:visible" in style)
+        if not gone and (tag in htmltext.BLOCK or tag in ("td", "th")):
+            self.found.append(" ")
         if tag not in htmltext.VOID:
             self.stack.append((gone, seen))
         elif tag in ("br", "hr"):
@@ -30,8 +32,8 @@ class Plain(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag not in htmltext.VOID:
-            self.stack.pop()
-            self.found.append(" " if tag in htmltext.BLOCK or tag in ("td", "th") else "")
+            gone, _ = self.stack.pop()
+            self.found.append(" " if not gone and (tag in htmltext.BLOCK or tag in ("td", "th")) else "")
 
     def handle_data(self, data):
         if self.stack[-1] == (False, True):
