@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_transcripts": _on("conversations", chat.format_chats),
     "op3_mixture_packing": _on("documents", packing.pack),
     "op4_html_layout": _on("pages", htmltext.extract),
-    "op5_mpeg_ts": _on("pages", lambda pages: mpegts.read_streams(mpegts.streams_of(pages))),
+    "op5_mpeg_ts": _on("pages", lambda pages: mpegts.flat(mpegts.read_streams(mpegts.streams_of(pages)))),
     "op6_hilbert_shards": _on("documents", sharding.shard),
     "op7_language_id": _on("documents", langid.identify),
     "op8_simhash_near_dedup": _on("documents", simhash.near_duplicates),
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op3_mixture_packing": packing.pack_sql(),
+    "op5_mpeg_ts": mpegts.streams_sql(),
     "op6_hilbert_shards": sharding.shard_sql(),
     "op10_source_mixing": mixing.mix_sql(),
 }
