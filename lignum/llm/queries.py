@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {
     "op6_hilbert_shards": _on("documents", sharding.shard),
     "op7_language_id": _on("documents", langid.identify),
     "op8_simhash_near_dedup": _on("documents", simhash.near_duplicates),
-    "op9_warc_segments": _on("pages", lambda pages: warc.reassemble(warc.segments_of(pages))),
+    "op9_warc_segments": _on("pages", lambda pages: warc.text_bodies(warc.reassemble(warc.read_records(warc.archives_of(pages))))),
     "op10_source_mixing": _on("documents", mixing.mix),
 }
 
@@ -33,5 +33,6 @@ ORACLES: dict[str, str] = {
     "op3_mixture_packing": packing.pack_sql(),
     "op5_mpeg_ts": mpegts.streams_sql(),
     "op6_hilbert_shards": sharding.shard_sql(),
+    "op9_warc_segments": warc.reassemble_sql(),
     "op10_source_mixing": mixing.mix_sql(),
 }

@@ -1,11 +1,15 @@
+import gzip
+import itertools
+
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lignum.llm import warc
 
-SEGMENTS = "origin_id long, segment_number int, total_length long, payload binary"
 
 
 def chunked(data, size):
@@ -33,38 +37,40 @@ def test_extensions_trailers_and_case():
 
 def test_pages_come_back(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    html = {r.page_id: r.html.encode() for r in pages.collect()}
-    got = warc.reassemble(warc.segments_of(pages)).collect()
-    assert len(got) == len(html)
-    cut = warc.segments_of(pages).groupBy("origin_id").count().count()
-    assert cut == len(html)
+    html = {f"<urn:page:{r.page_id}>": (r.url, r.html.encode()) for r in pages.collect()}
+    got = warc.reassemble(warc.read_records(warc.archives_of(pages))).collect()
+    assert {r.record_id for r in got} == set(html) and len(got) == len(html)
     for r in got:
+        url, body = html[r.record_id]
+        assert r.target_uri == url and r.part == 0
         if r.complete:
-            assert bytes(r.body) == html[r.origin_id] and r.status == 200 and r.problem is None
+            assert bytes(r.body) == body and r.status == 200 and r.problem is None
         else:
-            assert r.origin_id % 50 == 17 and r.body is None and r.problem in ("missing segment", "no single total length")
+            assert int(r.record_id[10:-1]) % 50 == 17 and r.body is None and r.problem in ("missing segment", "no single total length")
 
 
 def test_cases(spark):
     head = b"HTTP/1.1 200 OK\r\n\r\n"
     n = len(head)
     rows = [
-        (1, 2, n + 3, b"abc"), (1, 1, None, head), (1, 1, None, head),  # out of order, repeated
-        (2, 1, None, head), (2, 3, n + 3, b"abc"),  # a gap
-        (3, 1, None, head), (3, 2, n + 9, b"abc"),  # wrong length
-        (4, 1, None, head), (4, 2, None, b"abc"),  # no total
-        (5, 1, None, head), (5, 1, None, head + b"!"), (5, 2, n, b""),  # conflict
-        (6, 1, n, head), (7, 1, 0, None), (None, 1, n, head), (8, None, n, head),
-        (9, 1, n + 3_000_000, head + bytes(range(256)) * 11718 + b"\xff" * 192),
-        (10, 1, n, head), (10, 2, n + 1, b"z"),  # two totals
+        ("1", 2, n + 3, b"abc"), ("1", 1, None, head), ("1", 1, None, head),  # out of order, repeated
+        ("2", 1, None, head), ("2", 3, n + 3, b"abc"),  # a gap
+        ("3", 1, None, head), ("3", 2, n + 9, b"abc"),  # wrong length
+        ("4", 1, None, head), ("4", 2, None, b"abc"),  # no total
+        ("5", 1, None, head), ("5", 1, None, head + b"!"), ("5", 2, n, b""),  # conflict
+        ("6", 1, n, head), ("7", 1, 0, None), (None, 1, n, head), ("8", None, n, head),
+        ("9", 1, n + 3_000_000, head + bytes(range(256)) * 11718 + b"\xff" * 192),
+        ("10", 1, n, head), ("10", 2, n + 1, b"z"),  # two totals
+        ("11", 0, None, b""), ("11", 1, n, head),  # numbers start at 1
     ]
-    df = spark.createDataFrame(rows, SEGMENTS).withColumns({c: F.lit("mine") for c in ("s", "p", "gone", "r", "body", "status")})
+    rows = [(f"{o}/{k}" if s not in (1, None) and o else o, "continuation" if s not in (1, None) else "response", o if s not in (1, None) or o == "8" else None, s, t, None, p) for k, (o, s, t, p) in enumerate(rows)]
+    df = spark.createDataFrame(rows, warc.RECORDS).withColumns({c: F.lit("mine") for c in ("key", "n", "total", "gone", "digest", "same", "body", "status")})
     got = warc.reassemble(df)
-    assert got.columns == ["origin_id", "segments", "total_length", "complete", "status", "body", "problem"]
-    by = {r.origin_id: r for r in got.collect()}
-    assert set(by) == set(range(1, 11))
+    assert got.columns == ["record_id", "target_uri", "segments", "total_length", "complete", "status", "part", "body", "problem"]
+    by = {int(r.record_id): r for r in got.collect()}
+    assert set(by) == set(range(1, 12))
     assert (by[1].complete, bytes(by[1].body), by[1].segments) == (True, b"abc", 2)
-    problems = {2: "missing segment", 3: "length differs", 4: "no single total length", 5: "conflicting segments", 8: "missing segment", 10: "no single total length"}
+    problems = {2: "missing segment", 3: "length differs", 4: "no single total length", 5: "conflicting segments", 8: "missing segment", 10: "no single total length", 11: "missing segment"}
     assert {k: by[k].problem for k in problems} == problems and not any(by[k].complete or by[k].body for k in problems)
     assert bytes(by[6].body) == b"" and by[7].complete and by[7].problem == "no end of head"
     assert bytes(by[9].body) == bytes(range(256)) * 11718 + b"\xff" * 192
@@ -72,7 +78,48 @@ def test_cases(spark):
 
 def test_odd_pages_and_empty(spark):
     rows = [(1, "é" * 5000), (2, ""), (3, None), (None, "x"), (4, "z" * 3_000_000), (1, "é" * 5000)]
-    pages = spark.createDataFrame(rows, "page_id long, html string").withColumns({c: F.lit("mine") for c in ("b", "p", "k", "origin_id", "payload")})
-    by = {r.origin_id: r for r in warc.reassemble(warc.segments_of(pages)).collect()}
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumns({c: F.lit("mine") for c in ("b", "p", "k", "data", "payload", "url")})
+    by = {int(r.record_id[10:-1]): r for r in warc.reassemble(warc.read_records(warc.archives_of(pages))).collect()}
     assert {k: bytes(r.body).decode() for k, r in by.items()} == {1: "é" * 5000, 2: "", 3: "", 4: "z" * 3_000_000}
-    assert warc.reassemble(warc.segments_of(pages.filter("false"))).collect() == []
+    assert all(r.target_uri == "mine" for r in by.values())
+    none = pages.filter("false")
+    assert warc.reassemble(warc.read_records(warc.archives_of(none))).collect() == warc.read_records(spark.createDataFrame([(None,), (b"",)], "data binary")).collect() == []
+
+
+def test_records_of_an_archive():
+    a, b = warc.write_record({"WARC-Type": "response", "WARC-Record-ID": "<a>"}, b"one\r\n\r\nWARC/1.0\r\n"), warc.write_record({"warc-type": "metadata", "WARC-RECORD-ID": "<b>"}, b"")
+    blocks = lambda data: [(f["warc-record-id"], block) for f, block in warc.records(data)]
+    want = [("<a>", b"one\r\n\r\nWARC/1.0\r\n"), ("<b>", b"")]
+    assert blocks(a + b) == blocks(b"junk" + a + b"junk\r\n" + b) == blocks(gzip.compress(a) + gzip.compress(b)) == want
+    assert blocks(a + b"WARC/1.0\r\nWARC-Record-ID: <x>\r\nContent-Length: no\r\n\r\nxx\r\n\r\n" + b) == want
+    assert blocks(a[:-10])[0][0] == "<a>" and blocks(b"") == blocks(None) == []
+    folded = b"WARC/1.0\nWARC-Record-ID:\n <c>\nContent-Length: 2\n\nhi\n\n"
+    assert blocks(folded) == [("<c>", b"hi")]
+
+
+@given(st.binary(max_size=300), st.integers(1, 40), st.lists(st.integers(0, 600), max_size=6))
+def test_bytes_may_come_in_any_pieces(data, size, cuts):
+    sent = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(data, size)
+    r, out = warc.Response(True), b""
+    ends = sorted({min(c, len(sent)) for c in cuts} | {0, len(sent)})
+    for a, b in itertools.pairwise(ends):
+        out += b"".join(r.feed(sent[a:b]))
+    r.finish()
+    assert out == data and r.status == 200
+
+
+def test_long_bodies_come_in_parts(monkeypatch):
+    monkeypatch.setattr(warc, "PART_BYTES", 10)
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    names = ("key", "uri", "segments", "total_length", "gone", "kind", "payload")
+    rows = [("a", None, 3, 60, None, "response", p) for p in (head, b"0123456789abc", b"defgh")] + [("b", None, 1, 5, None, "resource", b"block"), ("c", None, 1, 5, "missing segment", "response", None)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part], pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("segments", "total_length") else pa.string()) for n in names])) for part in (rows[:2], rows[2:])]
+    out = [r for b in warc._joined(iter(batches)) for r in b.to_pylist()]
+    assert [(r["record_id"], r["part"], r["body"], r["problem"]) for r in out] == [("a", 0, b"0123456789", None), ("a", 1, b"abcdefgh", None), ("b", 0, b"block", None), ("c", 0, None, "missing segment")]
+
+
+def test_a_hot_group_of_copies(spark):
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    rows = [Row(record_id="hot", record_type="response", origin_id=None, segment_number=None, total_length=None, target_uri="u", payload=head + b"same")] * 3000 + [Row(record_id=str(k), record_type="response", origin_id=None, segment_number=None, total_length=None, target_uri="u", payload=head + b"%d" % k) for k in range(50)]
+    got = {r.record_id: r for r in warc.reassemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
+    assert len(got) == 51 and bytes(got["hot"].body) == b"same" and got["hot"].segments == 1 and bytes(got["7"].body) == b"7"
