@@ -6,13 +6,15 @@ dimensions at once and a run of them has narrow ranges in each, which is what
 lets a reader skip files. Cells are few (2^(3 * BITS), whatever the input), so
 their running sum of characters is one small table; a run covers about
 `run_chars`. A cell larger than that is cut into several runs by hash of doc_id.
-The texts move once, to the partition of their run, and are sorted there.
+The rows move once, whole, to the partition of their run, and are sorted there;
+a task gets one run, or when there are more than `TASKS` runs an even share of
+them that are next to each other.
 
 Defined cases: null lang and source are values of their own, sorting first; a
 null n_chars counts as 0 and as the lowest level; ties on the curve are in
 order of doc_id, nulls first; repeated rows stay, next to each other; with one
 value a dimension is constant; an empty table gives no rows; extra columns are
-left out, so a name like run_id can't clash.
+carried along, but for any named curve_index or run_id, which the results replace.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import DOC_COLUMNS, order_hash, order_hash_sql, subset, written
+from .common import DOC_COLUMNS, order_hash, order_hash_sql, written
 
 DIMS, BITS = 3, 5
 LEVELS = 1 << BITS
 #: Lower bounds of the length levels 1, 2, ...: half-octaves from 8 characters.
 LENGTHS = [round(8 * 2 ** (k / 2)) for k in range(LEVELS - 1)]
 RUN_CHARS = 32_000_000
+#: most partitions of a result; beyond that many runs a task writes several
+TASKS = 40_000
 
 
 def curve_tables(n: int = DIMS) -> tuple[list[int], list[int]]:
@@ -62,7 +66,8 @@ def _level_sql() -> list[str]:
 
 def shard(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     """The documents with curve_index and run_id, partitioned by run and sorted along the curve."""
-    base = subset(docs, *DOC_COLUMNS)
+    names = [c for c in docs.columns if c not in ("curve_index", "run_id")]
+    base = docs.select(F.struct(*names).alias("row"), "doc_id", "lang", "source", "n_chars")
 
     def ranked(name: str, level: str) -> DataFrame:
         values = base.select(name).distinct()
@@ -84,9 +89,13 @@ def shard(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     cells = x.groupBy("curve_index").agg(F.sum(F.coalesce("n_chars", F.lit(0))).alias("t"))
     upto = F.sum("t").over(Window.orderBy("curve_index"))  # at most 2^(DIMS * BITS) rows
     cells = cells.withColumn("upto", upto).select("curve_index", F.expr(f"(upto - t) div {run_chars}").alias("first"), F.expr(f"greatest(1, upto div {run_chars} - (upto - t) div {run_chars})").alias("runs"))
+    cells = written(cells, "cells")
+    runs = cells.agg(F.max(F.expr("first + runs"))).first()[0] or 1
+    tasks = min(runs, TASKS)
     placed = x.join(F.broadcast(cells), "curve_index")  # bounded as above
     out = placed.withColumn("run_id", F.col("first") + F.pmod(order_hash(F.col("doc_id"), "shard"), F.col("runs")))
-    return out.select(*DOC_COLUMNS, "curve_index", "run_id").repartition("run_id").sortWithinPartitions("run_id", "curve_index", "doc_id")
+    there = out.select("row", "doc_id", "curve_index", "run_id").repartitionById(tasks, F.expr(f"cast(run_id * {tasks} div {runs} as int)"))
+    return there.sortWithinPartitions("run_id", "curve_index", "doc_id").select("row.*", "curve_index", "run_id")
 
 
 def manifest(sharded: DataFrame) -> DataFrame:

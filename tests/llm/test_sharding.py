@@ -44,9 +44,12 @@ def test_equals_brute_force(docs, odd, odd_rows, run_chars):
     for df in (docs, odd):
         rows = [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
         got = sharding.shard(df, run_chars)
-        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "curve_index", "run_id"]
+        carried = [c for c in df.columns if c not in ("curve_index", "run_id")]
+        assert got.columns == [*carried, "curve_index", "run_id"]
         want = sorted(map(repr, (r + x for r, x in zip(rows, brute_shard(rows, run_chars)))))
-        assert sorted(repr(tuple(r)) for r in got.collect()) == want
+        found = got.collect()
+        assert sorted(repr(tuple(r)[:5] + tuple(r)[-2:]) for r in found) == want
+        assert all(r[c] == "mine" for r in found for c in carried[5:])
 
 
 def test_sql_twin(odd, duck):
@@ -72,3 +75,13 @@ def test_runs_are_sorted_and_prune(docs, tmp_path, spark):
 
 def test_empty(no_docs):
     assert sharding.shard(no_docs).collect() == []
+
+
+def test_a_task_for_each_run(docs, monkeypatch):
+    runs = sharding.shard(docs, 20_000)
+    n = runs.rdd.getNumPartitions()
+    parts = [{r.run_id for r in part} for part in runs.rdd.glom().collect()]
+    assert n > 8 and all(len(p) <= 1 for p in parts)
+    monkeypatch.setattr(sharding, "TASKS", 4)
+    parts = [{r.run_id for r in part} for part in sharding.shard(docs, 20_000).rdd.glom().collect()]
+    assert len(parts) == 4 and all(parts) and not any(a & b for a, b in itertools.combinations(parts, 2))
