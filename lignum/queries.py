@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import code_queries
 from .functions import paths
 from .functions.lines import lines
 from .functions.tokens import estimate
@@ -394,3 +395,6 @@ ORACLES: dict[str, str] = {
     "focus_union": f"select distinct path from ({_reach_sql(1, False)}) union select distinct path from ({_reach_sql(1, True)})",
     "java_suffix_resolve": _JAVA_SQL,
 }
+
+QUERIES |= code_queries.QUERIES
+ORACLES |= code_queries.oracles(_CLASS_SQL, _PATH_SQL)

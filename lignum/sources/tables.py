@@ -35,7 +35,7 @@ def rewritten(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(". "), F.lit("\n\n# ")), F.lit(", "), F.lit("\r\n  "))
 
 
-def _files(path: Column, content: Column, *more: Column) -> list[Column]:
+def files_of(path: Column, content: Column, *more: Column) -> list[Column]:
     return [path.alias("path"), F.octet_length(content).cast("bigint").alias("size_bytes"), F.encode(content, "UTF-8").alias("content"), *more]
 
 
@@ -43,9 +43,9 @@ def document_files(documents: DataFrame) -> DataFrame:
     """documents as files source/lang/doc_id.ext of four languages without block comments."""
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 4 + 1).cast("int"))
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), ext))
-    return documents.select(*_files(path, rewritten(F.coalesce("text", F.lit("")))))
+    return documents.select(*files_of(path, rewritten(F.coalesce("text", F.lit("")))))
 
 
 def page_files(pages: DataFrame) -> DataFrame:
     """pages as HTML files."""
-    return pages.select(*_files(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.coalesce("html", F.lit(""))))
+    return pages.select(*files_of(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.coalesce("html", F.lit(""))))
