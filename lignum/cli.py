@@ -15,7 +15,8 @@ from .plans import context, graph, loc
 from .render import context as render_context
 from .render import graph as render_graph
 from .render import loc as render_loc
-from .sources import config, git
+from .sources import config, corpus, git
+from .sources.tables import checkouts
 
 
 def emit(text: str, output: str | None) -> None:
@@ -32,6 +33,10 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lignum", description="Analyses of source trees on Spark.")
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("mcp", help="serve the analyses as tools on standard input and output")
+    made = commands.add_parser("corpus", help="write made-up source trees to be measured on")
+    made.add_argument("--output", default="generated_corpus", metavar="FOLDER")
+    made.add_argument("--clean", action="store_true", help="remove the folder first")
+    made.add_argument("--datasets", nargs="+", choices=tuple(corpus.DATASETS))
     for name, text in (("loc", "count lines"), ("context", "build a context pack"), ("graph", "map dependencies")):
         p = commands.add_parser(name, help=text)
         p.add_argument("--path", help="folder; the working one by default")
@@ -62,7 +67,7 @@ def parser() -> argparse.ArgumentParser:
 def _context(spark: SparkSession, args: argparse.Namespace, source: git.Source) -> None:
     found = config.find(source.path, args.config, args.no_config)
     if args.list_profiles:
-        emit(render_context.profiles(found and found.path, list(found.profiles) if found else []), None)
+        emit(render_context.profiles(found and source.display(found.path), list(found.profiles) if found else []), None)
         return
     given = config.Context(args.ignore, args.focus, args.diff, args.budget, args.compress, args.format, args.output)
     settings = config.merge(given, found, args.profile)
@@ -76,7 +81,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "mcp":
         server.serve(spark, sys.stdin, sys.stdout)
         return
-    source = git.resolve(args.path, args.url, args.ref)
+    if args.command == "corpus":
+        for path in corpus.write(args.output, args.datasets, args.clean):
+            emit(str(path), None)
+        return
+    source = git.resolve(args.path, args.url, args.ref, checkouts(spark))
     if args.command == "loc":
         emit(render_loc.table(loc.analyze(spark, source.path, args.ignore, source.shown)), None)
     elif args.command == "context":

@@ -209,13 +209,12 @@ def compress(source: str, syntax: str, mode: str) -> Compressed:
     broken = not _balanced(masked)
     if mode == "none":
         return Compressed(source, 0, broken)
-    spans = list(_python_items(masked, [])) if syntax == "python" else list(_brace_items(masked, syntax))
-    if syntax == "python":
-        # strings at the top level are masked whole, so find them in the text that keeps strings
-        spans = list(_python_items(mask(source, syntax, strings=False), []))
+    # strings at the top level of Python are masked whole, so its items are found in the text that keeps them
+    told = mask(source, syntax, strings=False) if syntax == "python" else masked
+    spans = list(_python_items(told, [])) if syntax == "python" else list(_brace_items(masked, syntax))
     out: list[tuple[int, str]] = []
     for begin, end in spans:
-        shown = (mask(source, syntax, strings=False) if syntax == "python" else masked)[begin:end]
+        shown = told[begin:end]
         kind = _kind(shown, syntax, mode)
         if kind == "keep":
             out.append((begin, source[begin:end].rstrip()))

@@ -82,14 +82,33 @@ def excerpt(data: bytes, size_bytes: int, focused: bool, allowed: int, language:
     return head_excerpt(body, LINES[focused], limit)
 
 
-def head_native(content: Column, lines: int) -> Column:
-    """The first lines of a text, joined by line feeds, in the JVM; for texts whose lines fit the token limit."""
-    return F.array_join(F.slice(L.lines(content), 1, lines), "\n")
+def heads(content: Column, lines: int, tokens: int) -> Column:
+    """`head_excerpt` of each file: content, line_end and truncated."""
 
+    @F.arrow_udf(_HEAD)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            found = [None if c is None else head_excerpt(c, lines, tokens) for c in contents.to_pylist()]
+            yield pa.array([e and {"content": e.content, "line_end": e.line_end, "truncated": e.truncated} for e in found], pa.struct([("content", pa.string()), ("line_end", pa.int64()), ("truncated", pa.bool_())]))
 
+    return run(content)
+
+
+_HEAD = T.StructType([T.StructField("content", T.StringType()), T.StructField("line_end", T.LongType()), T.StructField("truncated", T.BooleanType())])
 _LEAST = T.LongType()
 
 
+def _least_native() -> Column:
+    """`_least_cost` without compression, in the JVM: of a small file its bytes, of another its first lines, or the limit less a line."""
+    text = L.unix(L.as_latin(F.coalesce("content", F.lit(b""))))
+    focused = F.col("class") == "focused-file"
+    pick = lambda limits: F.when(focused, limits[True]).otherwise(limits[False])
+    # a line end fewer than it may have, and a mark of byte order
+    head = lambda t: F.greatest(F.lit(0), F.length(F.ltrim(t, F.lit("\n"))) - 4)
+    first = F.least(head(F.when(focused, F.substring_index(text, "\n", LINES[True])).otherwise(F.substring_index(text, "\n", LINES[False]))), 4 * pick(TOKENS) - 3 * select.LINE_BYTES - 1)  # bytes that are no UTF-8 count three
+    return estimate(F.when(F.col("size_bytes") <= FULL_BYTES, F.least(head(text), first)).otherwise(first))
+
+
 def _least_cost(mode: str, extended: bool) -> Column:
     """No less than what the walk charges a file that isn't its last."""
 
@@ -103,28 +122,34 @@ def _least_cost(mode: str, extended: bool) -> Column:
                 out.append(whole.tokens if whole.compressed else min(whole.tokens, head_excerpt(c, LINES[f], TOKENS[f]).tokens))
             yield pa.array(out, pa.int64())
 
-    return least(F.col("content"), F.col("class") == "focused-file", F.col("language"))
+    return _least_native() if mode == "none" else least(F.col("content"), F.col("class") == "focused-file", F.col("language"))
 
 
 def prior_cost(rows: DataFrame, cost: Column) -> DataFrame:
     """rows with `prior`, the cost of all rows that rank before.
 
-    Two levels: sums by (class, octave of size) come first, so the running sum
-    inside them is spread over tasks.
+    Two levels: sums by (class, range of sizes) come first, so the running sum
+    inside them is spread over tasks. The windows sort what `rows` has, so it
+    should have no contents.
     """
-    octave = F.length(F.bin("size_bytes")).cast("int")
-    with_cost = rows.withColumns({"cost": cost, "rank": select.rank_of(F.col("class")), "octave": octave})
-    sums = with_cost.groupBy("rank", "octave").agg(F.sum("cost").alias("t"))
-    before = Window.orderBy("rank", "octave").rowsBetween(Window.unboundedPreceding, -1)  # at most 8 classes of 64 octaves
-    bases = sums.select("rank", "octave", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("rank", "octave").orderBy("size_bytes", "path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = with_cost.join(F.broadcast(bases), ["rank", "octave"])
-    return placed.withColumn("prior", F.col("base") + F.coalesce(F.sum("cost").over(inside), F.lit(0))).drop("base", "octave", "cost", "rank")
+    with_cost = rows.withColumns({"cost": cost, "rank": select.rank_of(F.col("class")), "range": select.size_range()})
+    sums = with_cost.groupBy("rank", "range").agg(F.sum("cost").alias("t"))
+    before = Window.orderBy("rank", "range").rowsBetween(Window.unboundedPreceding, -1)  # at most 8 classes of 64 * 256 ranges
+    bases = sums.select("rank", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("rank", "range").orderBy("size_bytes", "path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = with_cost.join(F.broadcast(bases), ["rank", "range"])
+    return placed.withColumn("prior", F.col("base") + F.coalesce(F.sum("cost").over(inside), F.lit(0))).drop("base", "range", "cost", "rank")
 
 
 def budget_frontier(candidates: DataFrame, tokens: int, cost: Column | None = None) -> DataFrame:
-    """Candidates whose predecessors cost less than `tokens`; cost defaults to the estimate of the size."""
-    return prior_cost(candidates, estimate(F.col("size_bytes")) if cost is None else cost).filter(F.col("prior") < tokens)
+    """Candidates whose predecessors cost less than `tokens`; cost defaults to the estimate of the size.
+
+    Only paths and sizes are sorted; contents join the few that are left. A
+    path is a row of its own.
+    """
+    slim = candidates.select("path", "size_bytes", "class", (estimate(F.col("size_bytes")) if cost is None else cost).alias("least"))
+    near = prior_cost(slim, F.col("least")).filter(F.col("prior") < tokens).select("path", "prior")
+    return candidates.join(near, "path")
 
 
 def fill_budget(candidates: DataFrame, tokens: int, mode: str = "none", extended: bool = False) -> list[dict]:

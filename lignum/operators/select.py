@@ -119,9 +119,19 @@ def order() -> list[Column]:
     return [rank_of(F.col("class")), F.col("size_bytes"), F.col("path")]
 
 
+def size_range() -> Column:
+    """The range of sizes of a file, in order: its octave and the next eight bits."""
+    octave = F.length(F.bin("size_bytes")).cast("int")
+    return octave * 256 + F.expr("cast(shiftright(size_bytes, greatest(0, length(bin(size_bytes)) - 9)) & 255 as int)")
+
+
 def ranked(candidates_: DataFrame) -> DataFrame:
-    """Candidates with their 1-based rank inside each class, which needs no single task for all of them."""
-    return candidates_.withColumn("class_rank", F.row_number().over(Window.partitionBy("class").orderBy("size_bytes", "path")).cast("bigint"))
+    """Candidates with their 1-based rank inside each class: counts of ranges of sizes, then places inside these, so that no task sees a class."""
+    placed = candidates_.withColumn("range", size_range())
+    counts = placed.groupBy("class", "range").agg(F.count("*").alias("n"))
+    bases = counts.select("class", "range", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("class", "range").orderBy("size_bytes", "path"))
+    return placed.join(F.broadcast(bases), ["class", "range"]).withColumn("class_rank", (F.col("base") + inside).cast("bigint")).drop("base", "range")  # at most 8 classes of 64 * 256 ranges
 
 
 def dominant_languages(considered_: DataFrame) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from . import code_queries
 from .functions import paths
-from .functions.lines import lines
 from .functions.tokens import estimate
 from .operators import excerpts, graph, ignore, loc, select
-from .registry import LANGUAGES, STYLES, by_extension, by_name
+from .registry import LANGUAGES, by_extension, by_name
 from .sources import corpus, tables
 from .sources.tables import table
 
@@ -189,14 +188,22 @@ def diff_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIFF_SQL = f"with {_CLASS_SQL.strip()} select path, size_bytes from placed semi join diff on path = changed_path"
 
 
+HEAD_LINES, HEAD_TOKENS = 120, 500
+
+
 def head_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = tables.rewritten(F.coalesce("text", F.lit("")))
-    n = F.size(lines(text))
-    return table(spark, sf_dir, "documents").select("doc_id", excerpts.head_native(text, 120).alias("content"), F.least(F.lit(120), n).cast("bigint").alias("line_end"), (n > 120).alias("truncated"))
+    content = F.encode(tables.rewritten(F.coalesce("text", F.lit(""))), "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", excerpts.heads(content, HEAD_LINES, HEAD_TOKENS).alias("h")).select("doc_id", "h.*")
 
 
-_HEAD_SQL = f"""with {_DOC_FILES_SQL.strip()}, cut as (select doc_id, {_LINES_SQL.format(t="body")} as l from files)
-select doc_id, array_to_string(l[1:120], chr(10)) as content, CAST(least(120, len(l)) AS BIGINT) as line_end, len(l) > 120 as truncated from cut"""
+#: blank lines at the top are counted and not shown; a first line that is too long is cut between characters
+_HEAD_SQL = f"""with {_DOC_FILES_SQL.strip()}, cut as (select doc_id, {_LINES_SQL.format(t="body")} as l from files),
+bytes as (select doc_id, l, list_transform(l, lambda x: strlen(x)) as b, coalesce(list_position(list_transform(l, lambda x: strlen(x) > 0), true), len(l) + 1) as f from cut),
+sums as (select *, list_transform(range(1, least({HEAD_LINES}, len(l)) + 1), lambda k: case when k < f then 0 else list_sum(b[f:k]) + k - f end) as s from bytes),
+fit as (select *, len(list_filter(s, lambda x: x <= {4 * HEAD_TOKENS})) as k from sums),
+seen as (select *, k < least({HEAD_LINES}, len(l)) and f = k + 1 as clipped from fit)
+select doc_id, case when clipped then left(l[f], CAST(len(list_filter(range(1, {4 * HEAD_TOKENS} + 1), lambda n: n <= length(l[f]) and strlen(left(l[f], n)) <= {4 * HEAD_TOKENS})) AS BIGINT)) else array_to_string(l[f:k], chr(10)) end as content,
+  CAST(k + CAST(clipped AS INTEGER) AS BIGINT) as line_end, k < least({HEAD_LINES}, len(l)) or k < len(l) as truncated from seen"""
 
 
 # graphs: suppliers' files import those of their parts, parts' files those of a supplier of another order
@@ -321,18 +328,27 @@ def benchmark_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loc.rollup(loc.with_counts(corpus.files(spark, corpus.DATASETS["medium"])))
 
 
+#: by hand: (code, comment, empty) of the head, the repeated body and the tail of each template, and of the files at the root
+_CORPUS_COUNTS = {
+    "Rust": ("rs", (0, 1, 1), (3, 2, 1), (0, 0, 0)),
+    "Python": ("py", (0, 1, 1), (2, 1, 1), (0, 0, 0)),
+    "TypeScript": ("ts", (0, 1, 1), (1, 1, 1), (0, 0, 0)),
+    "HTML": ("html", (2, 0, 0), (1, 1, 1), (1, 0, 0)),
+    "JSON": ("json", (1, 0, 0), (1, 0, 1), (2, 0, 0)),
+    "TOML": ("toml", (0, 1, 0), (2, 1, 1), (0, 0, 0)),
+    "Shell Script": ("sh", (0, 1, 0), (1, 1, 1), (0, 0, 0)),
+}
+_ROOT_COUNTS = {"Makefile": ("Makefile", (2, 1, 0)), "Dockerfile": ("Dockerfile", (1, 1, 0))}
+
+
 def _corpus_sql(d: corpus.Dataset) -> str:
     """A template's lines are known, so the counts are products."""
     each, n = d.modules * d.files, corpus.repeats(d)
     rows = []
-    for ext, parts in corpus.TEMPLATES.items():
-        language = by_extension()[ext]
-        counts = [loc.count_lines(p.encode(), STYLES[LANGUAGES[language].style]) for p in parts]
-        sums = [each * (a + n * b + c) for a, b, c in zip(*counts)]
-        rows.append((language, *sums, each * (len(parts[0]) + n * len(parts[1]) + len(parts[2])), each))
-    for name, text in corpus.ROOT_FILES.items():
-        language = by_name()[name]
-        rows.append((language, *loc.count_lines(text.encode(), STYLES[LANGUAGES[language].style]), len(text), 1))
+    for language, (ext, *counts) in _CORPUS_COUNTS.items():
+        a, b, c = (len(p) for p in corpus.TEMPLATES[ext])
+        rows.append((language, *(each * (x + n * y + z) for x, y, z in zip(*counts)), each * (a + n * b + c), each))
+    rows += [(language, *counts, len(corpus.ROOT_FILES[name]), 1) for language, (name, counts) in _ROOT_COUNTS.items()]
     values = ", ".join(str(r) for r in rows)
     sums_sql = ", ".join(f"CAST(sum({c}) AS BIGINT) as {c}" for c in (*loc.SUMS, "files"))
     return f"with t(language, {', '.join(loc.SUMS)}, files) as (values {values}) select language, {sums_sql} from t group by rollup (language)"

@@ -70,7 +70,9 @@ FORMATS = {"markdown": markdown, "json": to_json}
 
 def profiles(path: object, names: list[str]) -> str:
     if path is None:
-        return "No settings file was found.\n"
-    if not names:
-        return f"No profiles in {path}.\n"
-    return f"Profiles in {path}:\n" + "".join(f"- {n}\n" for n in names)
+        return "No `.lignum.toml` file found for the selected path."
+    return f"Config: {path}\n" + ("Profiles:\n" + "\n".join(names) if names else "No context profiles defined.")
+
+
+def profiles_json(path: object, names: list[str]) -> str:
+    return json.dumps({"source_path": None if path is None else str(path), "profiles": names}, indent=2, ensure_ascii=False)

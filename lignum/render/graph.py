@@ -12,8 +12,12 @@ DIAGRAM_EDGES = 50
 
 
 def to_json(r: GraphReport) -> str:
+    """A report that JSON can't hold gives an object with its error."""
     out = r.as_dict()
-    return json.dumps({k: v for k, v in out.items() if not (k in ("depth", "query") and v is None)}, indent=2, ensure_ascii=False)
+    try:
+        return json.dumps({k: v for k, v in out.items() if not (k in ("depth", "query") and v is None)}, indent=2, ensure_ascii=False)
+    except (TypeError, ValueError) as e:
+        return json.dumps({"error": f"no JSON for this report: {e}"})
 
 
 def _inside(r: GraphReport) -> list[dict]:
@@ -54,16 +58,20 @@ def xml(r: GraphReport) -> str:
     m = r.metrics
     text = lambda name, value: f"<{name}>{escape(str(value), {chr(34): '&quot;', chr(39): '&apos;'})}</{name}>"
     out = ['<?xml version="1.0" encoding="UTF-8"?>', "<dependency-graph>", "  " + text("base-path", r.base_path)]
-    if r.focus_paths:
-        out += ["  <focus-paths>", *["    " + text("path", p) for p in r.focus_paths], "  </focus-paths>"]
+    chosen = ["    <focus-paths>", *["      " + text("focus-path", p) for p in r.focus_paths], "    </focus-paths>"] if r.focus_paths else []
     if r.depth is not None:
-        out.append("  " + text("depth", r.depth))
+        chosen.append("    " + text("depth", r.depth))
     if r.query:
-        out.append("  " + _tag("query", {"depends-on": r.query["depends_on"]}))
-    out += ["  <metrics>", *["    " + text(k.replace("_", "-"), m[k]) for k in ("total_files", "total_internal_edges", "total_external_edges", "circular_dependencies")]]
-    for key in ("most_importing", "most_imported"):
-        out += [f"    <{key.replace('_', '-')}>", *["      " + _tag("file", {"path": x["file_path"], "count": x["count"]}) for x in m[key]], f"    </{key.replace('_', '-')}>"]
-    out += ["    <cycles>", *["      <cycle>" + "".join(text("file", p) for p in ring) + "</cycle>" for ring in m["cycles"]], "    </cycles>", "  </metrics>", "  <nodes>"]
+        chosen.append("    " + text("query", f"depends_on:{r.query['depends_on']}"))
+    if chosen:
+        out += ["  <selection>", *chosen, "  </selection>"]
+    out += ["  <metrics>", *["    " + text(name, m[k]) for name, k in (("total-files", "total_files"), ("internal-edges", "total_internal_edges"), ("external-edges", "total_external_edges"), ("circular-dependencies", "circular_dependencies"))]]
+    for name, key in (("most-imported", "most_imported"), ("most-importing", "most_importing")):
+        if m[key]:
+            out += [f"    <{name}>", *["      " + _tag("file", {"path": x["file_path"], "count": x["count"]}) for x in m[key]], f"    </{name}>"]
+    if m["cycles"]:
+        out += ["    <cycles>", *[line for ring in m["cycles"] for line in ("      <cycle>", *["        " + text("node", p) for p in ring], "      </cycle>")], "    </cycles>"]
+    out += ["  </metrics>", "  <nodes>"]
     out += ["    " + _tag("node", {"path": n["file_path"], "language": n["language"] or "unknown", "imports": n["imports_count"], "imported-by": n["imported_by_count"]}) for n in r.nodes]
     out += ["  </nodes>", "  <edges>"]
     out += ["    " + _tag("edge", {"from": e["from"], "to": e["to"] or "(unresolved)", "import": e["import_path"], "resolved": str(e["resolved"]).lower()}) for e in r.edges]

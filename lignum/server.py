@@ -15,6 +15,7 @@ from .render import context as render_context
 from .render import graph as render_graph
 from .render import loc as render_loc
 from .sources import config, git
+from .sources.tables import checkouts
 
 PROTOCOL = "2024-11-05"
 _TEXT, _TEXTS, _FLAG = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "boolean"}
@@ -22,7 +23,7 @@ _SOURCE = {"path": _TEXT, "url": _TEXT, "ref": _TEXT, "ignore": _TEXTS}
 TOOLS: dict[str, tuple[str, dict[str, Any]]] = {
     "loc": ("Count code, comment and empty lines by language.", _SOURCE),
     "context": ("Build a pack of file excerpts that fits a token budget.", _SOURCE | {"focus": _TEXTS, "config": _TEXT, "no_config": _FLAG, "profile": _TEXT, "list_profiles": _FLAG, "diff": _TEXT, "budget": {"type": ["integer", "string"]}, "compress": _TEXT, "format": _TEXT}),
-    "graph": ("Map the imports between files.", _SOURCE | {"focus": _TEXTS, "depth": {"type": "integer"}, "what_depends_on": _TEXT, "format": _TEXT}),
+    "graph": ("Map the imports between files.", _SOURCE | {"focus": _TEXTS, "depth": {"type": "integer"}, "depends_on": _TEXT, "format": _TEXT}),
 }
 
 
@@ -33,18 +34,18 @@ def _loc(spark: SparkSession, source: git.Source, a: dict[str, Any]) -> str:
 def _context(spark: SparkSession, source: git.Source, a: dict[str, Any]) -> str:
     found = config.find(source.path, a.get("config"), a.get("no_config", False))
     if a.get("list_profiles"):
-        return render_context.profiles(found and found.path, list(found.profiles) if found else [])
+        return render_context.profiles_json(found and source.display(found.path), list(found.profiles) if found else [])
     budget = a.get("budget")
     given = config.Context(a.get("ignore", []), a.get("focus", []), a.get("diff"), None if budget is None else parse_budget(budget), a.get("compress"), a.get("format"))
     settings = config.merge(given, found, a.get("profile"))
-    return render_context.FORMATS[settings.format or "markdown"](context.build(spark, source, settings))
+    return render_context.FORMATS[settings.format or "json"](context.build(spark, source, settings))
 
 
 def _graph(spark: SparkSession, source: git.Source, a: dict[str, Any]) -> str:
     form = a.get("format", "json")
     if form not in render_graph.FORMATS:
         raise ValueError(f"unknown format {form!r}; one of {', '.join(render_graph.FORMATS)}")
-    made = graph.build(spark, source.path, a.get("ignore", []), a.get("focus", []), a.get("depth"), a.get("what_depends_on"), shown=source.shown)
+    made = graph.build(spark, source.path, a.get("ignore", []), a.get("focus", []), a.get("depth"), a.get("depends_on"), shown=source.shown)
     return render_graph.FORMATS[form](made)
 
 
@@ -64,7 +65,7 @@ def _call(spark: SparkSession, params: dict[str, Any]) -> dict[str, Any]:
     if more := sorted(set(arguments) - set(TOOLS[name][1])):
         raise _Refused(-32602, f"{name} has no argument {more[0]!r}")
     try:
-        source = git.resolve(arguments.get("path"), arguments.get("url"), arguments.get("ref"))
+        source = git.resolve(arguments.get("path"), arguments.get("url"), arguments.get("ref"), checkouts(spark))
         text, failed = _RUN[name](spark, source, arguments), False
     except (ValueError, OSError, git.GitError) as e:
         text, failed = f"error: {e}", True

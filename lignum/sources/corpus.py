@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,26 @@ def files(spark: SparkSession, d: Dataset) -> DataFrame:
     return made.unionByName(roots).select("path", F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"))
 
 
+def write(folder: str | Path, names: list[str] | None = None, clean: bool = False) -> list[Path]:
+    """Write the trees of the datasets, a folder each, and return these."""
+    top = Path(folder)
+    if clean and top.exists():
+        shutil.rmtree(top)
+    out = []
+    for name in chosen(names):
+        d = DATASETS[name]
+        n, base = repeats(d), top / name
+        for k in range(d.modules * d.files):
+            for ext, (a, b, c) in TEMPLATES.items():
+                path = base / f"module_{k // d.files:03d}" / f"file_{k % d.files:03d}.{ext}"
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_text(a + b * n + c)
+        for file, text in ROOT_FILES.items():
+            (base / file).write_text(text)
+        out.append(base)
+    return out
+
+
 def statistics(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Of each group of measurements: samples, lowest, mean, median, highest."""
     v = F.col(value)

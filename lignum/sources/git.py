@@ -81,6 +81,14 @@ class Source:
     shown_root: str | None = None
     guard: tempfile.TemporaryDirectory[str] | None = None
 
+    def display(self, path: Path) -> str:
+        """A path of the checkout as one of the repository that was cloned; any other as it is."""
+        root = self.root.resolve()
+        if self.shown_root is None or not path.resolve().is_relative_to(root):
+            return str(path)
+        inside = path.resolve().relative_to(root).as_posix()
+        return self.shown_root if inside == "." else f"{self.shown_root}/{inside}"
+
     @property
     def is_remote(self) -> bool:
         return self.guard is not None
@@ -103,8 +111,11 @@ def check_out(repo: Path, ref: str) -> str:
     return ref
 
 
-def resolve(path: str | Path | None = None, url: str | None = None, ref: str | None = None) -> Source:
-    """The source that a path, or a URL and perhaps a ref, stands for; the working folder without either."""
+def resolve(path: str | Path | None = None, url: str | None = None, ref: str | None = None, checkouts: str | Path | None = None) -> Source:
+    """The source that a path, or a URL and perhaps a ref, stands for; the working folder without either.
+
+    Clones go below `checkouts`, which executors must reach too; a temporary folder is for one machine only.
+    """
     if path is not None and url is not None:
         raise ValueError("give a path or a URL, not both")
     if url is None:
@@ -115,7 +126,7 @@ def resolve(path: str | Path | None = None, url: str | None = None, ref: str | N
     remote = parse_url(url)
     if remote.tail and ref is not None:
         raise ValueError("a tree URL has its own ref")
-    guard = tempfile.TemporaryDirectory(prefix="lignum-checkout-")  # on the driver only
+    guard = tempfile.TemporaryDirectory(prefix="lignum-checkout-", dir=checkouts)
     repo = Path(guard.name) / "repo"
     git(None, "clone", "--quiet", "--", remote.clone_url, str(repo))
     inside, shown = "", remote.shown

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_scratch()
 
 
+def checkouts(spark: SparkSession) -> Path:
+    """A folder for clones that executors reach by the same path; on a cluster it must be mounted."""
+    scheme, colon, path = shared_folder(spark).partition(":")
+    if colon and scheme != "file":
+        raise RuntimeError("to clone, spark.checkpoint.dir must be a mounted folder")
+    folder = Path("/" + (path if colon else scheme).lstrip("/")) / "checkouts"
+    folder.mkdir(parents=True, exist_ok=True)
+    return folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ def test_context(spark, folder, capsys):
     pack = json.loads(to.read_text())
     assert pack["files"][0]["selection_class"] == "focused-file" and pack["metadata"]["budget_tokens"] == 1000
     (folder / ".lignum.toml").write_text('[profiles.small.context]\nbudget=10\n')
-    assert cli.main(["context", "--path", str(folder), "--list-profiles"], spark) == 0 and "- small" in capsys.readouterr().out
+    assert cli.main(["context", "--path", str(folder), "--list-profiles"], spark) == 0 and "Profiles:\nsmall\n" in capsys.readouterr().out
     assert cli.main(["context", "--path", str(folder), "--profile", "small"], spark) == 0 and "| Budget tokens | 10 |" in capsys.readouterr().out
 
 

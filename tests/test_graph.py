@@ -108,11 +108,12 @@ def test_renderings(whole):
     text = render.markdown(whole)
     assert "| Internal edges |" in text and "graph LR" in text and "`src/a.rs` → `src/b/c.rs` → `src/a.rs`" in text
     doc = xml.dom.minidom.parseString(render.xml(whole))
-    assert len(doc.getElementsByTagName("node")) == len(whole.nodes) and any(e.getAttribute("to") == "(unresolved)" for e in doc.getElementsByTagName("edge"))
+    assert len(doc.getElementsByTagName("nodes")[0].getElementsByTagName("node")) == len(whole.nodes) and any(e.getAttribute("to") == "(unresolved)" for e in doc.getElementsByTagName("edge"))
+    assert [[n.firstChild.data for n in c.getElementsByTagName("node")] for c in doc.getElementsByTagName("cycle")] == whole.metrics["cycles"] and not doc.getElementsByTagName("selection")
     assert '"src_main_rs" -> "src_a_rs";' in render.dot(whole) and "std" not in render.dot(whole)
     many = plan.GraphReport("x", ["<f&>"], 2, {"depends_on": 'a"b'}, [{"file_path": "a", "language": None, "imports_count": 60, "imported_by_count": 60}], [{"from": "a", "to": "a", "import_path": "a", "resolved": True}] * 60, {"total_files": 1, "total_internal_edges": 60, "total_external_edges": 0, "circular_dependencies": 0, "most_importing": [], "most_imported": [], "cycles": []})
     assert "%% ... and 10 more edges" in render.markdown(many) and render.markdown(many).count("n0 --> n0") == 50
-    assert xml.dom.minidom.parseString(render.xml(many)).getElementsByTagName("query")[0].getAttribute("depends-on") == 'a"b'
+    assert xml.dom.minidom.parseString(render.xml(many)).getElementsByTagName("query")[0].firstChild.data == 'depends_on:a"b'
 
 
 def test_empty(spark):

@@ -32,10 +32,10 @@ def test_tools(ask, tmp_path):
     (tmp_path / "a.py").write_text("import b\n")
     (tmp_path / "b.py").write_text("x = 1\n")
     path = str(tmp_path)
-    lines, pack, deps, names = ask(call("loc", path=path), call("context", path=path, format="json", budget="1k"), call("graph", path=path, what_depends_on="b.py"), call("context", path=path, list_profiles=True))
+    lines, pack, deps, names = ask(call("loc", path=path), call("context", path=path, format="json", budget="1k"), call("graph", path=path, depends_on="b.py"), call("context", path=path, list_profiles=True))
     text = lambda r: r["result"]["content"][0]["text"]
     assert "Python: code_lines=2, comment_lines=0" in text(lines) and "files_scanned: 2" in text(lines)
-    assert len(json.loads(text(pack))["files"]) == 2 and len(json.loads(text(deps))["nodes"]) == 2 and "No settings" in text(names)
+    assert len(json.loads(text(pack))["files"]) == 2 and len(json.loads(text(deps))["nodes"]) == 2 and json.loads(text(names)) == {"source_path": None, "profiles": []}
     failed, unknown, tool = ask(call("graph", path=path, format="png"), call("loc", path=path, colour=1), call("sql"))
     assert failed["result"]["isError"] and unknown["error"]["code"] == tool["error"]["code"] == -32602
 
@@ -51,3 +51,12 @@ def test_corpus(spark):
     assert corpus.chosen(None) == list(corpus.DEFAULT) and corpus.chosen(["large", "large"]) == ["large"]
     with pytest.raises(ValueError):
         corpus.chosen(["huge"])
+
+
+def test_corpus_on_disk(spark, tmp_path):
+    (base,) = corpus.write(tmp_path / "trees", ["small"])
+    made = {r.path: bytes(r.content) for r in corpus.files(spark, corpus.DATASETS["small"]).collect()}
+    assert {p.relative_to(base).as_posix(): p.read_bytes() for p in base.rglob("*") if p.is_file()} == made
+    (tmp_path / "trees" / "old").write_text("")
+    corpus.write(tmp_path / "trees", ["small"], clean=True)
+    assert sorted(p.name for p in (tmp_path / "trees").iterdir()) == ["small"]
