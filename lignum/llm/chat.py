@@ -1,25 +1,32 @@
 """Transcript parsing: a hidden Markov model recovers the roles of a plain-text chat.
 
-A transcript is lines. The states are (role, first line of a turn or a later
-one); a line's symbol is its speaker marker, if any, with its length and
-whether it ends like a question. Start, transition and emission probabilities
-are smoothed counts of labelled transcripts (a bounded sample,
-`train_conversations` by hash of conv_id). Viterbi gives the likeliest states,
-turns are cut where a first line begins, and each turn is rendered as
-<|role|>, its text without the marker, and <|end|>.
+A transcript is lines. The states are (role, how many lines of the turn came
+before, up to `DEPTH`), so the lengths of turns are learned too. A line's
+features are its speaker marker, its length and whether it ends like a question,
+independent of each other given the state. A marker is recognised by its shape
+(a name before a colon, in brackets, as a heading, in bold), not by a list; what
+its name says about the role is learned from labelled transcripts (a bounded
+sample, `train_conversations` by hash of conv_id), which some common names
+support with prior counts. Start, transition and feature probabilities are
+smoothed counts. Viterbi gives the likeliest states, turns are cut where a first
+line begins, and each turn is rendered as <|role|>, its text without the marker,
+and <|end|>. The roles are those of the labelled sample, whatever they are called.
 
 Defined cases: a null or empty transcript has no turns and renders as ''; blank
 lines belong to the turn around them; a null text of a turn is an empty line;
-rows with an unknown or null role train nothing; a null conv_id is a
-conversation of its own; turns with the same number are in order of role and
-text, and repeated rows repeat; marker-like text renders with its markers
-broken, so that a rendering has no markers but its own; an empty table gives
-no rows; extra columns are ignored.
+rows with a null role train nothing; without a labelled row the roles are the
+usual ones; a null conv_id is a conversation of its own; turns with the same
+number are in order of role and text, and repeated rows repeat; a line inside a
+turn that looks like a marker keeps it; a marker of a name that is neither known
+nor repeated in the transcript stays in the text; marker-like text renders with
+its markers broken, so that a rendering has no markers but its own; very long
+lines are lines; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,66 +38,128 @@ from pyspark.sql import types as T
 
 from .common import order_hash, subset
 
-ROLES = ("system", "user", "assistant")
-STATES = [(r, first) for r in ROLES for first in (True, False)]
-#: Names by which transcripts mark a speaker.
-NAMES = {"system": ("System", "Instructions", "SYSTEM"), "user": ("User", "Human", "Q"), "assistant": ("Assistant", "AI", "A")}
-_ROLE_OF = {n.lower(): r for r, ns in NAMES.items() for n in ns}
-_MARK = re.compile(r"^\s*(?:<\|\s*)?(" + "|".join(sorted(map(re.escape, _ROLE_OF), key=len, reverse=True)) + r")(?:\s*\|>|\s*[:>])\s?", re.I)
-N_SYMBOLS = 4 * 4 * 2
+ROLES = ("assistant", "system", "user")
+#: Names by which transcripts often mark a role: prior counts, not rules.
+SEEDS = {
+    "system": ("system", "instructions", "instruction", "context"),
+    "user": ("user", "human", "q", "question", "customer", "client", "student", "patient", "prompter", "me"),
+    "assistant": ("assistant", "ai", "a", "answer", "bot", "agent", "chatbot", "model", "support", "response"),
+    "tool": ("tool", "function", "observation", "tool result"),
+}
+DEPTH, SIZES = 8, 10
+_NAME = r"[^\W\d_](?:[^\W_]|[.'](?=\w)){0,30}(?: [^\W_]{1,20}){0,2}"
+_MARK = re.compile(
+    rf"\s*(?:[#*_>\s]*(?P<a>{_NAME})\s*[*_]*\s*[:：][*_]*(?!//)|\*\*(?P<b>{_NAME})\*\*|(?:\[\s*(?P<c>{_NAME})\s*\]|\(\s*(?P<d>{_NAME})\s*\)|<\|?\s*(?P<e>{_NAME})\s*\|?>)[*_]*:?|#{{1,6}}\s*(?P<f>{_NAME})\s*$|(?P<g>{_NAME})\s?>)\s?"
+)
 RESULT = T.StructType([T.StructField("n_turns", T.IntegerType()), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("rendered", T.StringType())])
 
 
-def symbol(line: str) -> int:
+def marker(line: str) -> tuple[str, int] | None:
+    """(name in small letters, end of the marker) of a line that begins like a turn."""
     m = _MARK.match(line)
-    mark = 1 + ROLES.index(_ROLE_OF[m[1].lower()]) if m else 0
-    size = 0 if not line.strip() else 1 if len(line) < 60 else 2 if len(line) < 240 else 3
-    return (mark * 4 + size) * 2 + line.rstrip().endswith("?")
+    return None if m is None else (m[m.lastgroup].lower(), m.end())
+
+
+def length(line: str) -> int:
+    """0 for a blank line, then by half-octaves from 16 characters."""
+    n = len(line.strip())
+    return 0 if not n else 1 + min(SIZES - 2, max(0, int(2 * np.log2(n / 16)))) if n >= 16 else 1
 
 
 @dataclass
 class Hmm:
+    """Log-probabilities. A state is role * DEPTH + lines before; names has a row for each known name, then unknown and none."""
+
+    roles: list[str]
     start: np.ndarray
     move: np.ndarray
-    emit: np.ndarray  # [symbol, state]
-
-
-def train(transcripts: list[tuple[list[str], list[str]]]) -> Hmm:
-    """Log-probabilities from (texts as marked, roles) of whole conversations."""
-    start, move, emit = np.full(6, 0.5), np.full((6, 6), 0.05), np.full((N_SYMBOLS, 6), 0.02)
-    for s, (_, first) in enumerate(STATES):
-        emit[:, s] += 0
-        if not first:  # never an inside line without its own role's first line before it
-            start[s] = 0
-            for q, (role, _) in enumerate(STATES):
-                if role != STATES[s][0]:
-                    move[q, s] = 0
-    for texts, roles in transcripts:
+    names: dict[str, int]
+    name: np.ndarray  # [name, state]
+    size: np.ndarray  # [length, state]
+    asks: np.ndarray  # [question, state]
+
+    def emission(self, line: str, known: set[str] | None = None) -> np.ndarray:
+        m = marker(line)
+        if m is None:
+            row = len(self.names) + 1
+        else:
+            row = self.names.get(m[0], len(self.names))
+            if row == len(self.names) and (known is None or m[0] not in known):
+                row += 1  # a name of prose
+        return self.name[row] + self.size[length(line)] + self.asks[int(line.rstrip().endswith(("?", "？")))]
+
+
+def repeated(lines: list[str]) -> set[str]:
+    """Names that mark several lines of a transcript."""
+    found = Counter(m[0] for x in lines if (m := marker(x)))
+    return {n for n, k in found.items() if k > 1}
+
+
+def train(transcripts: list[tuple[list[str | None], list[str | None]]]) -> Hmm:
+    """From (texts as marked, roles) of whole conversations."""
+    roles = sorted({r for _, rs in transcripts for r in rs if r is not None}) or list(ROLES)
+    n = len(roles) * DEPTH
+    at = {r: k * DEPTH for k, r in enumerate(roles)}
+    named: dict[str, Counter[str]] = defaultdict(Counter)
+    start, move = np.zeros(n), np.zeros((n, n))
+    for r in roles:
+        start[at[r]] = 0.5
+        for k in range(DEPTH):
+            # a turn goes on, or any role begins one
+            move[at[r] + k, at[r] + min(k + 1, DEPTH - 1)] = 0.5
+            for q in roles:
+                move[at[r] + k, at[q]] = 0.05
+    size, asks = np.full((SIZES, n), 0.3), np.full((2, n), 0.5)
+    bare, strange = np.full(n, 0.5), np.full(n, 0.1)
+    for k in range(0, n, DEPTH):
+        strange[k] = 0.5
+    for texts, rs in transcripts:
         before = None
-        for text, role in zip(texts, roles):
-            if role not in ROLES:
+        lines = "\n".join(t or "" for t in texts).split("\n")
+        known = repeated(lines)
+        for text, role in zip(texts, rs):
+            if role is None:
                 before = None
                 continue
             for k, line in enumerate((text or "").split("\n")):
-                s = STATES.index((role, k == 0))
+                s = at[role] + min(k, DEPTH - 1)
                 if before is None:
-                    start[s] += s % 2 == 0
+                    start[s] += k == 0
                 else:
                     move[before, s] += 1
-                emit[symbol(line), s] += 1
+                size[length(line), s] += 1
+                asks[int(line.rstrip().endswith(("?", "？"))), s] += 1
+                m = marker(line)
+                if m and not k:
+                    named[m[0]][role] += 1
+                elif m and m[0] in known:
+                    strange[s] += 1
+                else:
+                    bare[s] += 1
                 before = s
+    # of a name that marked a first line twice, or is a usual one, the roles are known
+    usual = {x: r for r, xs in SEEDS.items() for x in xs if r in at} | {r.lower(): r for r in roles}
+    names = {x: k for k, x in enumerate(sorted({x for x, c in named.items() if sum(c.values()) > 1} | set(usual)))}
+    name = np.full((len(names) + 2, n), 1e-3)
+    for x, row in names.items():
+        for r in roles:
+            name[row, at[r]] += named[x][r] + 2.0 * (usual.get(x) == r)
+    name[len(names)] += strange
+    name[len(names) + 1] += bare
     with np.errstate(divide="ignore"):
-        return Hmm(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(0)))
+        log = lambda x, axis: np.log(x / x.sum(axis, keepdims=True))
+        return Hmm(roles, log(start, 0), log(move, 1), names, log(name, 0), log(size, 0), log(asks, 0))
 
 
-def viterbi(hmm: Hmm, symbols: list[int]) -> list[int]:
-    score = hmm.start + hmm.emit[symbols[0]]
+def viterbi(start: np.ndarray, move: np.ndarray, emissions: np.ndarray) -> list[int]:
+    """The likeliest states for [step, state] log-probabilities of what is seen."""
+    score = start + emissions[0]
     back = []
-    for s in symbols[1:]:
-        paths = score[:, None] + hmm.move
+    for e in emissions[1:]:
+        paths = score[:, None] + move
         best = paths.argmax(0)
         back.append(best)
-        score = paths[best, np.arange(6)] + hmm.emit[s]
+        score = paths[best, np.arange(len(start))] + e
     at = int(score.argmax())
     states = [at]
     for best in reversed(back):
@@ -99,16 +168,24 @@ def viterbi(hmm: Hmm, symbols: list[int]) -> list[int]:
     return states[::-1]
 
 
+def states_of(hmm: Hmm, lines: list[str]) -> list[tuple[str, bool]]:
+    """(role, whether a turn begins) of each line."""
+    known = repeated(lines)
+    path = viterbi(hmm.start, hmm.move, np.stack([hmm.emission(x, known) for x in lines]))
+    return [(hmm.roles[s // DEPTH], s % DEPTH == 0) for s in path]
+
+
 def parse(hmm: Hmm, transcript: str | None) -> list[tuple[str, str]]:
     """(role, text) turns."""
     if not transcript:
         return []
     lines = transcript.split("\n")
+    known = repeated(lines)
     turns: list[tuple[str, list[str]]] = []
-    for line, s in zip(lines, viterbi(hmm, [symbol(x) for x in lines])):
-        role, first = STATES[s]
+    for line, (role, first) in zip(lines, states_of(hmm, lines)):
         if first or not turns:
-            turns.append((role, [_MARK.sub("", line, count=1)]))
+            m = marker(line)
+            turns.append((role, [line[m[1] :] if m and (m[0] in hmm.names or m[0] in known) else line]))
         else:
             turns[-1][1].append(line)
     return [(r, "\n".join(x)) for r, x in turns]
@@ -118,14 +195,19 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text.replace('<|', '< |')}\n<|end|>\n" for role, text in turns)
 
 
+#: how the made-up transcripts mark system, user and assistant
+STYLES = (("System: ", "User: ", "Assistant: "), ("**Instructions:** ", "**Human:** ", "**AI:** "), ("SYSTEM: ", "Q: ", "A: "), ("[Context] ", "[Customer] ", "[Agent] "), ("### System: ", "### User: ", "### Bot: "), ("<|system|>", "<|user|>", "<|assistant|>"))
+
+
 def _marked() -> Column:
-    """A turn as transcripts show it: names vary by conversation, and a sixth of the later turns has none."""
-    style = F.pmod(order_hash(F.col("conv_id"), "style"), F.lit(3))
+    """A turn as transcripts show it: names and marks vary by conversation, and a sixth of the later turns has none."""
+    style = F.pmod(order_hash(F.col("conv_id"), "style"), F.lit(len(STYLES)))
     name = F.lit("")
-    for role, names in NAMES.items():
-        name = F.when(F.col("role") == role, F.element_at(F.array(*map(F.lit, names)), (style + 1).cast("int"))).otherwise(name)
+    for k, role in enumerate(("system", "user", "assistant")):
+        name = F.when(F.col("role") == role, F.element_at(F.array(*[F.lit(s[k]) for s in STYLES]), (style + 1).cast("int"))).otherwise(name)
+    name = F.when(F.col("role").isNotNull() & (name == ""), F.concat(F.initcap("role"), F.lit(": "))).otherwise(name)
     bare = (F.pmod(order_hash(F.concat_ws("/", "conv_id", "turn"), "bare"), F.lit(6)) == 0) & (F.col("turn") > 0)
-    return F.concat(F.when(bare | (name == ""), F.lit("")).otherwise(F.concat(name, F.lit(": "))), F.coalesce("text", F.lit("")))
+    return F.concat(F.when(bare, F.lit("")).otherwise(name), F.coalesce("text", F.lit("")))
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
