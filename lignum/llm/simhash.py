@@ -11,7 +11,10 @@ share it, which only adds recall. All rows of the subtree are verified by
 Hamming distance: no cap on a bucket. d* follows log2 of the number of
 distinct fingerprints, so the expected subtree keeps its size as data grow,
 and L follows d*. Exact copies share a fingerprint and are folded before the
-forest, so thousands of copies cost no pairs.
+forest, so thousands of copies cost no pairs. Where texts crowd (templates that
+differ in a few words), a large subtree isn't compared all with all: a search
+takes whatever it has linked out of the rows still to be compared, so a cluster
+of near copies costs a pass or a few and no link is lost.
 
 Defined cases: null and empty texts, and texts without an alphanumeric
 character, have no fingerprint and are in no group; a null doc_id can't be
@@ -38,6 +41,7 @@ from .common import subset, written
 
 BITS = 256
 KEY_BITS = 62
+DENSE = 4096  # rows of a subtree beyond which linked rows are taken out
 FP = ["f0", "f1", "f2", "f3"]
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 _FP_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in FP])
@@ -129,6 +133,22 @@ def _pairs(lo: np.ndarray, hi: np.ndarray, block: int = 1_000_000) -> Iterator[t
         at = to
 
 
+def _linked(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of the rows that verified pairs connect; what is linked is taken out of the rows still to be compared."""
+    left = np.arange(len(fp))
+    stars: list[np.ndarray] = []
+    while len(left):
+        members, reached, left = [left[:1]], [int(left[0])], left[1:]
+        while reached and len(left):
+            near = np.bitwise_count(fp[left] ^ fp[reached.pop()]).sum(1, dtype=np.int32) <= radius
+            if near.any():
+                members.append(left[near])
+                reached.extend(members[-1].tolist())
+                left = left[~near]
+        stars.append(np.concatenate(members))
+    return np.concatenate([np.full(len(m), m[0]) for m in stars]), np.concatenate(stars)
+
+
 def search_groups(group: np.ndarray, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, depth: int, floor: int, radius: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (smallest id, id) of what verified pairs connect inside whole (trie, prefix) groups."""
     order = np.lexsort((ids, key, group))
@@ -143,16 +163,23 @@ def search_groups(group: np.ndarray, key: np.ndarray, ids: np.ndarray, fp: np.nd
         size = np.diff(np.append(start, n))
         begin, count = np.repeat(start, size), np.repeat(size, size)
         take = open_ & ((count >= fill) | (d == floor))
+        if d == depth:
+            crowded = take[start] & (size > DENSE)
+            dense = list(zip(start[crowded].tolist(), (start + size)[crowded].tolist()))
         lo[take], hi[take] = begin[take], (begin + count)[take]
         open_ &= ~take
     # ids sharing a group several times (never within one trie) and all components get the smallest row index
     parent = np.arange(n)
     own = np.arange(n)
+    for at, end in dense:
+        a, b = _linked(fp[at:end], radius)
+        _unite(parent, at + a, at + b)
+        lo[at:end] = hi[at:end] = own[at:end]
     # ahead: j in (i, hi_i); behind: j in [lo_i, i) that don't have i ahead of them
     for first, last, behind in ((own + 1, hi, False), (lo, own, True)):
         for i, j in _pairs(first, np.maximum(last, first)):
             if behind:
-                unseen = hi[j] <= i
+                unseen = hi[j] <= i  # of a dense subtree all
                 i, j = i[unseen], j[unseen]
             near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int32) <= radius
             _unite(parent, i[near], j[near])

@@ -32,6 +32,34 @@ def test_thousands_of_copies_and_chains(spark):
     assert len(got) == 3002 and set(got.values()) == {1}
 
 
+def test_crowds(spark, monkeypatch):
+    """Templates that differ in a few words, and some unlike texts."""
+    monkeypatch.setattr(simhash, "DENSE", 16)
+    base = [f"t{k}" for k in range(300)]
+    rows = [(k, " ".join(base[:-6] + [f"x{k}y{j}" for j in range(6)])) for k in range(400)]
+    rows += [(1000 + k, " ".join(f"z{k}q{j}" for j in range(80))) for k in range(100)] + [(2000, " ".join(f"z7q{j}" for j in range(79)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(simhash.near_duplicates(docs)) == brute.near_duplicates(rows) == dict.fromkeys(range(1, 400), 0) | {2000: 1007}
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(1, 30), st.integers(0, 99), st.integers(0, 60))
+def test_links_of_a_dense_subtree(n, seed, radius):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 2**63, (4, 4)).astype(np.uint64)
+    fp = centres[rng.integers(0, 4, n)] ^ (np.uint64(1) << rng.integers(0, 63, (n, 4)).astype(np.uint64))
+    a, b = simhash._linked(fp, radius)
+    got = dict(zip(b.tolist(), a.tolist()))
+    want = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]).sum(1) <= radius)
+            least = min(want[j] for j in near)
+            for j in near:
+                want[j] = least
+    assert [min(k for k in got if got[k] == got[i]) for i in range(n)] == want
+
+
 def test_odd_rows(odd, odd_rows):
     got = simhash.near_duplicates(odd)
     assert got.columns == ["doc_id_a", "doc_id_b"] and removed(got) == {2: 1}
