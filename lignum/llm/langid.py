@@ -5,8 +5,9 @@ ends as letters (so one- and two-letter affixes are among them), its first and
 last four letters, and its place in a lexicon of frequent words. A transition
 weight links neighbouring words of a line. Forward-backward gives each word a
 posterior over the languages; the likeliest labels it. The chain starts anew
-at each line and after `SEGMENT` words, which bounds the sequential steps of a
-batch; every word of the text is labelled.
+at each line. Lines of more than `SEGMENT` words are cut, to bound the sequential
+steps of a batch, and what a segment does to the state is a small matrix, so the
+state at each cut is exact and the posteriors are those of the whole line.
 
 Training is on the driver, from a bounded sample of labelled documents
 (`train_docs` a language, by hash of doc_id, whole texts), respliced into
@@ -76,6 +77,7 @@ class Words:
     owner: np.ndarray
     starts: np.ndarray  # of segments, as word indices
     lengths: np.ndarray
+    goes_on: np.ndarray  # whether a segment continues the line of the one before
     grams: np.ndarray
     gram_at: np.ndarray  # first gram of each word
     prefix: np.ndarray
@@ -115,7 +117,7 @@ def words_of(texts: list[str]) -> Words | None:
     first = np.repeat(fresh, pieces)
     nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     seg = first + nth * SEGMENT
-    return Words(owner, seg, np.diff(np.append(seg, len(n))), grams, gram_at, pre % AFFIX, suf % AFFIX, hashes)
+    return Words(owner, seg, np.diff(np.append(seg, len(n))), nth > 0, grams, gram_at, pre % AFFIX, suf % AFFIX, hashes)
 
 
 @dataclass
@@ -147,6 +149,48 @@ class Model:
         return np.stack([np.add.reduceat(self.gram[g][w.grams], w.gram_at) + self.prefix[g][w.prefix] + self.suffix[g][w.suffix] + self.lex[g][lex] for g in range(len(self.langs))])
 
 
+def _cuts(model: Model, w: Words, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[languages, segments]: the forward state that enters each segment and the backward one that leaves it.
+
+    A segment's matrix is the product of its words' steps; those of a line are
+    chained, all lines at once.
+    """
+    k, n = len(model.langs), len(w.starts)
+    m = np.exp(model.move).astype(np.float64)
+    back = np.ascontiguousarray(m.T)
+    enter, leave = np.repeat(np.exp(model.first.astype(np.float64))[:, None], n, 1), np.ones((k, n))
+    cut = np.flatnonzero(w.goes_on | np.append(w.goes_on[1:], False))
+    if not len(cut):
+        return enter, leave
+    order = cut[np.argsort(-w.lengths[cut], kind="stable")]
+    lengths, starts = w.lengths[order], w.starts[order]
+    product = np.zeros((k, k, len(order)))
+    for t in range(int(lengths[0])):
+        here = int(np.searchsorted(-lengths, -t, "left"))
+        e = scores[:, starts[:here] + t].astype(np.float64)
+        e = np.exp(e - e.max(0))
+        x = np.tensordot(back, product[:, :, :here], 1) if t else np.repeat(np.eye(k)[:, :, None], here, 2)
+        x = e[:, None] * x
+        product[:, :, :here] = x / x.sum((0, 1))
+    of = np.empty(n, np.int64)
+    of[order] = np.arange(len(order))
+    heads = cut[~w.goes_on[cut]]
+    ends = np.append(heads[1:], cut[-1] + 1)
+    # the last segment of each line: lines are runs of cut segments
+    parts = np.array([np.searchsorted(cut, e) for e in ends]) - np.searchsorted(cut, heads)
+    for step in range(1, int(parts.max())):
+        now = heads[parts > step] + step
+        x = np.einsum("ijn,jn->in", product[:, :, of[now - 1]], enter[:, now - 1])
+        x = back @ x
+        enter[:, now] = x / x.sum(0)
+    for step in range(int(parts.max()) - 1, 0, -1):
+        now = heads[parts > step] + step
+        x = np.einsum("jin,jn->in", product[:, :, of[now]], leave[:, now])
+        x = m @ x
+        leave[:, now - 1] = x / x.sum(0)
+    return enter, leave
+
+
 def forward_backward(model: Model, w: Words, emissions: np.ndarray, expected: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """[languages, words] posteriors; expected transition counts where asked for.
 
@@ -165,13 +209,15 @@ def forward_backward(model: Model, w: Words, emissions: np.ndarray, expected: bo
     m = np.exp(model.move)
     back = np.ascontiguousarray(m.T)
     alpha, beta = np.empty_like(p), np.empty_like(p)
-    a = np.exp(model.first)[:, None] * np.ones((1, active[0]), p.dtype)
+    enter, leave = _cuts(model, w, emissions)
+    a = enter[:, order].astype(p.dtype)
+    ends = leave[:, order].astype(p.dtype)
     for t in range(longest):
         lo, n = base[t], active[t]
         a = (back @ a[:, :n] if t else a) * p[:, lo : lo + n]
         a /= a.sum(0)
         alpha[:, lo : lo + n] = a
-    b = np.ones((len(m), active[0]), p.dtype)
+    b = ends.copy()
     for t in range(longest - 1, -1, -1):
         n, lo = active[t + 1], base[t + 1]
         if n:

@@ -14,7 +14,8 @@ others keep their proportions.
 
 Both prefix sums are two-level (bucket totals, then inside buckets), so no
 task sees a whole source: queue buckets hold about `BUCKET_ROWS` documents and
-round buckets `ROUNDS` rounds, whatever the input.
+round buckets `ROUNDS` rounds, or more where that would give more than `BUCKETS`
+of them, whose totals one task sums up.
 
 Target proportions are integer weights by source; without any, the sources'
 own tokens, so that all queues end together.
@@ -41,7 +42,7 @@ SALT = "pack"
 WINDOW = 8192
 PIECE = 1024
 BUCKET_ROWS = 4096
-ROUNDS = 64
+ROUNDS, BUCKETS = 64, 1 << 16
 
 
 
@@ -72,10 +73,12 @@ def pack(docs: DataFrame, weights: dict[str | None, int] | None = None, window:
     placed = queued.join(bases, ["s", "b"]).withColumn("at", F.col("base") + F.coalesce(F.sum("tokens").over(queue), F.lit(0)))
     pieces = placed.select("s", "doc_id", "at", "tokens", "quantum", F.explode(F.sequence(F.lit(0), F.expr(f"(tokens - 1) div {piece}"))).alias("k"))
     pieces = pieces.select("s", "doc_id", F.expr(f"k * {piece}").alias("start"), F.expr(f"least({piece}, tokens - k * {piece})").alias("n"), (F.col("at") + F.expr(f"k * {piece}")).alias("at"), "quantum")
-    pieces = written(pieces.withColumn("round", F.expr("(at + n + quantum - 1) div quantum")).withColumn("rb", F.expr(f"round div {ROUNDS}")).drop("quantum"), "pieces")
+    pieces = written(pieces.withColumn("round", F.expr("(at + n + quantum - 1) div quantum")).drop("quantum"), "pieces")
+    rounds = max(ROUNDS, math.ceil((pieces.agg(F.max("round")).first()[0] or 0) / BUCKETS))
+    pieces = pieces.withColumn("rb", F.expr(f"round div {rounds}"))
 
     by_rounds = pieces.groupBy("rb").agg(F.sum("n").alias("t"))
-    along = Window.orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 64 windows or so
+    along = Window.orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     offsets = by_rounds.select("rb", F.coalesce(F.sum("t").over(along), F.lit(0)).alias("base"))
     served = Window.partitionBy("rb").orderBy("round", "s", "at").rowsBetween(Window.unboundedPreceding, -1)
     out = pieces.join(offsets, "rb").withColumn("offset", F.col("base") + F.coalesce(F.sum("n").over(served), F.lit(0)))

@@ -85,3 +85,16 @@ def test_nothing_known(no_docs, spark):
     assert langid.identify(no_docs).collect() == [] and langid.keep_identified(no_docs).collect() == []
     alone = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify(alone).select("label", "accepted").collect() == [(None, False)]
+
+
+def test_cuts_change_nothing(monkeypatch):
+    """Posteriors of cut lines are those of whole lines."""
+    model = langid.train([("the cat sat on the mat and the dog ran", "en"), ("der hund lief und die katze sass auf der matte", "de")] * 4)
+    texts = ["the hund sat und the cat ran der katze " * 9 + "\nthe dog", "", "die katze", "a\nb\n" + "der the " * 31]
+    whole, _ = langid.forward_backward(model, w := langid.words_of(texts), model.emissions(w))
+    for segment in (1, 2, 3, 5, 8, 63):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        cut = langid.words_of(texts)
+        assert cut.goes_on.any() and (np.diff(cut.starts) > 0).all() and cut.lengths.max() <= segment
+        post, _ = langid.forward_backward(model, cut, model.emissions(cut))
+        assert np.allclose(post, whole, atol=1e-5)
