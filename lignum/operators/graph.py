@@ -17,10 +17,14 @@ from ..sources.tables import shared_folder
 from . import imports
 
 
+def scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lignum/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once to the folder that executors share and read back: lineage ends here, and sizes are known."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lignum/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,22 +101,25 @@ def under(path: Column, roots: Sequence[str]) -> Column:
 def reachable(roots: DataFrame, edges: DataFrame, depth: int | None = None, reverse: bool = False) -> DataFrame:
     """(path, distance) of what is within depth + 1 steps of the roots (path), or at any distance.
 
-    A frontier of new nodes is joined to the edges each round; rounds are
-    written tables, so a lost executor costs a round at most, and end with an
-    empty frontier.
+    A frontier of new nodes is joined to the edges each round. Rounds are
+    partitions of one written table, so each writes only what is new, a lost
+    executor costs a round at most, and an empty round ends the search.
     """
     a, b = ("to", "from") if reverse else ("from", "to")
     steps = written(edges.filter("resolved").select(F.col(a).alias("path"), F.col(b).alias("next")).distinct(), "steps")
-    seen = written(roots.select("path").distinct().withColumn("distance", F.lit(0)), "roots")
-    frontier, at = seen, 0
+    spark = edges.sparkSession
+    folder = f"{scratch(spark)}/reached-{uuid.uuid4().hex}"
+    roots.select("path").distinct().write.parquet(f"{folder}/distance=0")
+    at = 0
     while depth is None or at <= depth:
+        frontier = spark.read.schema("path string").parquet(f"{folder}/distance={at}")
+        seen = spark.read.schema("path string").parquet(*[f"{folder}/distance={k}" for k in range(at + 1)])
         at += 1
-        new = frontier.join(steps, "path").select(F.col("next").alias("path")).distinct().join(seen.select("path"), "path", "left_anti")
-        frontier = written(new.withColumn("distance", F.lit(at)), "frontier")
-        if not frontier.take(1):
+        new = frontier.join(steps, "path").select(F.col("next").alias("path")).distinct().join(seen, "path", "left_anti")
+        new.write.parquet(f"{folder}/distance={at}")
+        if not spark.read.schema("path string").parquet(f"{folder}/distance={at}").take(1):
             break
-        seen = written(seen.unionByName(frontier), "seen")
-    return seen
+    return spark.read.schema("path string, distance int").parquet(folder)
 
 
 def subset(edges: DataFrame, nodes: DataFrame) -> DataFrame:

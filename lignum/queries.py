@@ -306,7 +306,9 @@ select a."from", import_path, "to", "to" is not null as resolved from asked a le
 
 def focus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a focus imports within two steps, and what depends on it within two."""
-    return _reach(spark, sf_dir, 1, False).select("path").union(_reach(spark, sf_dir, 1, True).select("path")).distinct()
+    known, edges = _graph(spark, sf_dir)
+    root, edges = known.filter(F.col("path") == _ROOT), graph.written(edges.filter("resolved"), "edges")
+    return graph.reachable(root, edges, 1).select("path").union(graph.reachable(root, edges, 1, True).select("path")).distinct()
 
 
 def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
