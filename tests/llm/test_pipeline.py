@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+from test_mixing_fill import filled
 
 import corpus_pipeline
 from lignum.llm import langid
@@ -13,13 +14,13 @@ def test_equals_brute_force(spark, docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
     model = langid.fit(docs)
     found = langid.label_texts(model, [r[1] for r in rows]).to_pylist()
-    rows = [r for r, x in zip(rows, found) if x["n_words"] and x["share"] >= 0.4]
+    rows = [r for r, x in zip(rows, found) if x["n_words"] and x["share"] >= 0.4 and x["recognised"]]
     x, d2 = brute.squared_distances([(r[2], r[3], r[1]) for r in rows])
     rows = [r for r, v, d in zip(rows, x, d2) if not brute.outlier(not np.isnan(v[0]), d)]
     gone = brute.near_duplicates([(r[0], r[1]) for r in rows])
     rows = [r for r in rows if r[0] not in gone]
-    taken = brute.mixture([(r[0], r[3], r[1]) for r in rows], None, (100,))
-    rows = [rows[k] for k in taken]
+    taken = filled([(r[0], r[3], r[1]) for r in rows])  # the stage fills: a source that runs out gives all it has
+    rows = [rows[k] for k in sorted(taken)]
     want = brute.packing([(r[0], r[3], r[1]) for r in rows])
     got = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r.window_id)
     assert [list(zip(r.doc_ids, r.sources, r.starts, r.counts)) for r in got] == want and want
