@@ -28,4 +28,4 @@ def unix(text: Column) -> Column:
 
 def has_long_line(text: Column, most: int) -> Column:
     """Whether some line has more than `most` characters."""
-    return F.regexp_like(text, F.lit(f"[^\\r\\n]{{{most + 1}}}"))
+    return F.regexp_like(text, F.lit(f"(?<![^\\r\\n])[^\\r\\n]{{{most + 1}}}"))  # tried at the begin of lines alone

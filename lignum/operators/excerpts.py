@@ -10,7 +10,7 @@ least, and only these have their contents collected for the exact walk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
@@ -20,8 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lines as L
+from ..functions import paths
+from ..functions.arrow import in_pieces
 from ..functions.tokens import ceil_div, estimate, estimate_of
 from . import compress, select
+from .graph import written
 from .loc import split_lines
 
 FULL_BYTES = 4096
@@ -112,17 +115,31 @@ def _least_native() -> Column:
 def _least_cost(mode: str, extended: bool) -> Column:
     """No less than what the walk charges a file that isn't its last."""
 
+    def of(content: bytes | None, focused: bool, language: str | None) -> int:
+        c = content or b""
+        whole = excerpt(c, len(c), focused, TOKENS[focused], language, mode, extended)
+        return whole.tokens if whole.compressed else min(whole.tokens, head_excerpt(c, LINES[focused], TOKENS[focused]).tokens)
+
     @F.arrow_udf(_LEAST)
     def least(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for contents, focused, languages in batches:
-            out = []
-            for c, f, g in zip(contents.to_pylist(), focused.to_pylist(), languages.to_pylist()):
-                c = c or b""
-                whole = excerpt(c, len(c), f, TOKENS[f], g, mode, extended)
-                out.append(whole.tokens if whole.compressed else min(whole.tokens, head_excerpt(c, LINES[f], TOKENS[f]).tokens))
-            yield pa.array(out, pa.int64())
+        yield from in_pieces(batches, of, pa.int64())
+
+    return _least_native() if mode == "none" else least.asNondeterministic()(F.col("content"), F.col("class") == "focused-file", F.col("language"))
 
-    return _least_native() if mode == "none" else least(F.col("content"), F.col("class") == "focused-file", F.col("language"))
+
+def measured(files: DataFrame, focuses: Sequence[select.Focus] = (), changes: bool = False, mode: str = "none", extended: bool = False) -> DataFrame:
+    """(path, size_bytes, is_text, least) of files (path, size_bytes, content): all that choosing needs of the contents, which are read once.
+
+    Written, so that what follows moves and sorts rows without contents. Those
+    of files that can't be shown aren't read; with changes, any path may be.
+    """
+    path = F.col("path")
+    may = F.coalesce(select.can_show(F.lit(changes)) & select.is_considered(focuses, F.lit(changes)), F.lit(False))
+    focus = F.coalesce(select.focus_class(path, focuses), F.lit(""))  # whether a file is focused follows from its path
+    shown = files.filter(may).withColumns({"class": focus, "language": paths.language(path)})
+    costs = shown.select("path", "size_bytes", F.coalesce(select.is_text(F.col("content")), F.lit(False)).alias("is_text"), _least_cost(mode, extended).alias("least"))
+    rest = files.filter(~may).select("path", "size_bytes", F.lit(False).alias("is_text"), F.lit(0).cast("bigint").alias("least"))
+    return written(costs.unionByName(rest), "measured")
 
 
 def prior_cost(rows: DataFrame, cost: Column) -> DataFrame:
@@ -152,9 +169,16 @@ def budget_frontier(candidates: DataFrame, tokens: int, cost: Column | None = No
     return candidates.join(near, "path")
 
 
-def fill_budget(candidates: DataFrame, tokens: int, mode: str = "none", extended: bool = False) -> list[dict]:
-    """The files of a pack, in rank order, as rows with their excerpt."""
-    rows = budget_frontier(candidates, tokens, _least_cost(mode, extended)).select("path", "size_bytes", "language", "class", "changed", "content", select.rank_of(F.col("class")).alias("rank"))
+def fill_budget(candidates: DataFrame, tokens: int, mode: str = "none", extended: bool = False, contents: DataFrame | None = None) -> list[dict]:
+    """The files of a pack, in rank order, as rows with their excerpt; contents (path, content) if candidates are of `measured` files.
+
+    The few that can be in it are written before contents join, so that Spark
+    knows how few they are.
+    """
+    least = _least_cost(mode, extended) if contents is None else F.col("least")
+    slim = candidates.select("path", "size_bytes", "language", "class", "changed", least.alias("least"))
+    near = written(prior_cost(slim, F.col("least")).filter(F.col("prior") < tokens).withColumn("rank", select.rank_of(F.col("class"))), "near")
+    rows = (candidates if contents is None else contents).select("path", "content").join(near, "path")
     chosen: list[dict] = []
     used, partial = 0, False
     for r in rows.orderBy("rank", "size_bytes", "path").toLocalIterator():  # as many as tokens at most; read while they are needed

@@ -95,23 +95,37 @@ def with_changes(files: DataFrame, changed: DataFrame | None) -> DataFrame:
     return files.join(marks, files.path == marks.changed_path, "left").withColumn("changed", F.col("changed_path").isNotNull()).drop("changed_path")
 
 
+def is_considered(focuses: Sequence[Focus], changed: Column) -> Column:
+    path = F.col("path")
+    return focus_class(path, focuses).isNotNull() | changed | ~is_low_signal(path)
+
+
+def can_show(changed: Column) -> Column:
+    """Whether a file's path and size allow it in a pack."""
+    path = F.col("path")
+    return (changed | paths.language(path).isNotNull() | is_manifest(path) | is_workflow(path)) & F.col("size_bytes").between(1, MAX_BYTES)
+
+
 def considered(files: DataFrame, focuses: Sequence[Focus] = (), changed: DataFrame | None = None) -> DataFrame:
     """files (path, size_bytes, ...) without low-signal ones, with language, changed and class."""
     marked = with_changes(files, changed)
     path = F.col("path")
-    kept = marked.filter(focus_class(path, focuses).isNotNull() | F.col("changed") | ~is_low_signal(path))
+    kept = marked.filter(is_considered(focuses, F.col("changed")))
     return kept.withColumns({"language": paths.language(path), "class": selection_class(path, focuses, F.col("changed"))})
 
 
+def is_text(content: Column) -> Column:
+    """Whether the begin of a file is neither binary nor minified."""
+    sniff = L.as_latin(F.substring(content, 1, SNIFF_BYTES))
+    return (F.locate("\0", sniff) == 0) & ~L.has_long_line(sniff, LINE_BYTES)
+
+
 def candidates(considered_: DataFrame) -> DataFrame:
-    """Those that a pack can show; uses content, if the table has it, to leave out binary and minified files."""
-    path = F.col("path")
-    fit = (F.col("changed") | F.col("language").isNotNull() | is_manifest(path) | is_workflow(path)) & F.col("size_bytes").between(1, MAX_BYTES)
-    kept = considered_.filter(fit)
+    """Those that a pack can show; uses content or what `is_text` said of it, if the table has it, to leave out binary and minified files."""
+    kept = considered_.filter(can_show(F.col("changed")))
     if "content" in considered_.columns:
-        sniff = L.as_latin(F.substring("content", 1, SNIFF_BYTES))
-        kept = kept.filter((F.locate("\0", sniff) == 0) & ~L.has_long_line(sniff, LINE_BYTES))
-    return kept
+        return kept.filter(is_text(F.col("content")))
+    return kept.filter("is_text") if "is_text" in considered_.columns else kept
 
 
 def order() -> list[Column]:

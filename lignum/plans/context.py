@@ -45,10 +45,10 @@ def _shown(row: dict) -> dict:
 
 def report(files: DataFrame, budget: int = C.DEFAULT_BUDGET, focuses: Sequence[select.Focus] = (), changed: DataFrame | None = None, mode: str = "none", base_path: str = ".", diff: dict[str, Any] | None = None, extended: bool = False) -> ContextReport:
     """A pack of a table of files (path, size_bytes, content)."""
-    kept = select.considered(files, focuses, changed)
+    kept = select.considered(excerpts.measured(files, focuses, changed is not None, mode, extended), focuses, changed)
     languages = [r.asDict() for r in select.dominant_languages(kept).collect()]  # a row for each known language at most
     metadata_tokens, excerpt_tokens = split_budget(budget)
-    chosen = excerpts.fill_budget(select.candidates(kept), excerpt_tokens, mode, extended)
+    chosen = excerpts.fill_budget(select.candidates(kept), excerpt_tokens, mode, extended, files)
     shown = [_shown(r) for r in chosen]
     used = sum(f["estimated_tokens"] for f in shown)
     around = metadata_estimate(len(languages), len(shown), len(set(focuses)), metadata_tokens)
